@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import mixing, packing
+from marginalia.llm import mixing, packing, splitting
 from marginalia.llm.tokens import token_count
 from marginalia.tables import settle, table
 
@@ -21,6 +21,17 @@ def limit(spark: SparkSession, folder: str, purpose: str) -> tuple[int, int]:
     return row["max_tokens"], row["overlap_tokens"]
 
 
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all oversized chunks, with their new ordinals."""
+    chunks = table(spark, folder, "chunks")
+    return splitting.renumbered(chunks, splitting.split(chunks, *limit(spark, folder, "chunk_split")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that came out as pieces, and how they had to be cut."""
+    return splitting.split(table(spark, folder, "chunks"), *limit(spark, folder, "chunk_split")).filter("piece = 0").select("chunk_id", "cut")
+
+
 def p5_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Container of each document, or of each piece of one that is larger than a container."""
     packed, _ = packing.pack(document_sizes(spark, folder), limit(spark, folder, "container")[0])
@@ -50,8 +61,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_containers, p5_found, p6_mix, p6_report, p6_found)}
+    return {f.__name__: f for f in (p2_pieces, p2_found, p5_containers, p5_found, p6_mix, p6_report, p6_found)}
+
+
+P2_FOUND_SQL = r"""
+SELECT chunk_id,
+       CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\s.!?;,。！？；，]+'), lambda x: length(x) // 4)) > lim.max_tokens
+            THEN 'hard' ELSE 'natural' END AS cut
+FROM chunks, (SELECT max_tokens FROM size_limits WHERE purpose = 'chunk_split') lim
+WHERE length(text) // 4 > lim.max_tokens
+"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"p2_found": P2_FOUND_SQL}

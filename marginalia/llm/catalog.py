@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import mixing, packing, splitting
+from marginalia.llm import mixing, neighbours, packing, splitting
 from marginalia.llm.tokens import token_count
 from marginalia.tables import settle, table
 
@@ -32,6 +32,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "chunks"), *limit(spark, folder, "chunk_split")).filter("piece = 0").select("chunk_id", "cut")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vectors of similarity 0.9 or more in which one is among the 5 most similar to the other."""
+    chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
+    notes = table(spark, folder, "notes").select(F.lit("note").alias("kind"), F.col("note_id").alias("id"), F.col("summary_embedding").alias("vector"))
+    return neighbours.similar_pairs(chunks.union(notes)).select("kind", "id_a", "id_b")
+
+
 def p5_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Container of each document, or of each piece of one that is larger than a container."""
     packed, _ = packing.pack(document_sizes(spark, folder), limit(spark, folder, "container")[0])
@@ -61,7 +68,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_pieces, p2_found, p5_containers, p5_found, p6_mix, p6_report, p6_found)}
+    return {f.__name__: f for f in (p2_pieces, p2_found, p4_found, p5_containers, p5_found, p6_mix, p6_report, p6_found)}
 
 
 P2_FOUND_SQL = r"""

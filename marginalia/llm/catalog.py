@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import mixing, neighbours, packing, splitting
+from marginalia.llm import mixing, neighbours, packing, splitting, stuffing
 from marginalia.llm.tokens import token_count
 from marginalia.tables import settle, table
 
@@ -67,8 +67,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return report.filter((F.col("mixed_tokens") < F.col("target_tokens")) & (F.col("available_tokens") * F.col("max_uses") < F.col("target_tokens"))).select("source")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that are mostly keywords, tags or links."""
+    return stuffing.stuffed_pages(table(spark, folder, "documents").select("doc_id", "text", "lang")).select("doc_id").distinct()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_pieces, p2_found, p4_found, p5_containers, p5_found, p6_mix, p6_report, p6_found)}
+    return {f.__name__: f for f in (p2_pieces, p2_found, p4_found, p5_containers, p5_found, p6_mix, p6_report, p6_found, p7_found)}
 
 
 P2_FOUND_SQL = r"""

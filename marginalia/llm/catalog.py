@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import mixing, neighbours, packing, splitting, stuffing
+from marginalia.llm import languages, mixing, neighbours, packing, splitting, stuffing
 from marginalia.llm.tokens import token_count
 from marginalia.tables import settle, table
 
@@ -32,6 +32,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "chunks"), *limit(spark, folder, "chunk_split")).filter("piece = 0").select("chunk_id", "cut")
 
 
+def p3_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Language segments of every chunk, and what its label says."""
+    texts = table(spark, folder, "chunks").select(F.col("chunk_id").alias("id"), "text")
+    labels = table(spark, folder, "chunk_labels").select(F.col("chunk_id").alias("id"), "lang")
+    return languages.labelled_segments(texts, labels).withColumnRenamed("id", "chunk_id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments of chunks whose label is missing or wrong, or whose text mixes languages."""
+    return p3_segments(spark, folder).filter("chars >= 40 and label_state != 'right'").select("chunk_id", "seg", "lang")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of vectors of similarity 0.9 or more in which one is among the 5 most similar to the other."""
     chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
@@ -73,7 +85,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_pieces, p2_found, p4_found, p5_containers, p5_found, p6_mix, p6_report, p6_found, p7_found)}
+    return {f.__name__: f for f in (p2_pieces, p2_found, p3_segments, p3_found, p4_found, p5_containers, p5_found, p6_mix, p6_report, p6_found, p7_found)}
 
 
 P2_FOUND_SQL = r"""

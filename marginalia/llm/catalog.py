@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import languages, mixing, neighbours, packing, splitting, stuffing
+from marginalia.llm import languages, mixing, neighbours, packing, pairs, splitting, stuffing
 from marginalia.llm.tokens import token_count
 from marginalia.tables import settle, table
 
@@ -21,6 +21,14 @@ def limit(spark: SparkSession, folder: str, purpose: str) -> tuple[int, int]:
     return row["max_tokens"], row["overlap_tokens"]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Finished summaries that are defective, and how."""
+    chunks = table(spark, folder, "chunks").select("chunk_id", "note_id", "text")
+    labels = table(spark, folder, "chunk_labels").select(F.col("chunk_id").alias("id"), "lang")
+    notes = table(spark, folder, "notes").filter("summary_status = 4").select("note_id", "page_title", "summary")
+    return pairs.defective(notes, chunks, pairs.fit(chunks.select(F.col("chunk_id").alias("id"), "text"), labels))
+
+
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all oversized chunks, with their new ordinals."""
     chunks = table(spark, folder, "chunks")
@@ -85,7 +93,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_pieces, p2_found, p3_segments, p3_found, p4_found, p5_containers, p5_found, p6_mix, p6_report, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_pieces, p2_found, p3_segments, p3_found, p4_found, p5_containers, p5_found, p6_mix, p6_report, p6_found, p7_found)}
 
 
 P2_FOUND_SQL = r"""

@@ -161,16 +161,20 @@ def fit_language(vocabulary: Vocabulary, counts: dict[str, int]) -> dict[int, fl
     return dict(zip(seen.tolist(), p[seen, 0].tolist()))
 
 
+def training_texts(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Rows of ``texts`` (id, text) with a label (id, lang) that names a language: ``sample`` of each at most, by hashed id."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    named = labels.select("id", language_code(F.col("lang")).alias("lang")).filter("lang is not null").distinct()
+    chosen = named.withColumn("rank", rank).filter(F.col("rank") <= sample).drop("rank")
+    return texts.filter("text is not null").join(F.broadcast(chosen), "id")
+
+
 def fit(texts: DataFrame, labels: DataFrame, folder: str = TOKENIZERS, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities (a column each), from ``texts`` (id, text) and ``labels`` (id, lang).
 
-    Labels that name no language are left out; each language is fitted on ``sample`` texts at most, by hashed id, by one
-    task each. What comes back is bounded by the vocabulary.
+    Each language is fitted on its ``training_texts`` by one task. What comes back is bounded by the vocabulary.
     """
     path = f"{folder}/{PIECES}"
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    named = labels.select("id", language_code(F.col("lang")).alias("lang")).filter("lang is not null").distinct()
-    chosen = named.withColumn("rank", rank).filter(F.col("rank") <= sample).drop("rank")
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         vocabulary = Vocabulary(path)
@@ -178,7 +182,7 @@ def fit(texts: DataFrame, labels: DataFrame, folder: str = TOKENIZERS, sample: i
         fitted = fit_language(vocabulary, counts) if counts else {}
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "piece": list(fitted), "p": list(fitted.values())})
 
-    learned = texts.filter("text is not null").join(F.broadcast(chosen), "id").groupBy("lang").applyInPandas(train, "lang string, piece int, p double")
+    learned = training_texts(texts, labels, sample).groupBy("lang").applyInPandas(train, "lang string, piece int, p double")
     rows = learned.collect()
     languages = sorted({r["lang"] for r in rows})
     p = np.full((Vocabulary(path).size, len(languages)), 0.0)

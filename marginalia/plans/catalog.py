@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, folder):
-    raise NotImplementedError
+from marginalia.plans import searches
+from marginalia.plans.scalars import SCALARS
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search for all stored queries."""
+    return searches.hybrid_search(spark, folder)
 
 
 def queries() -> dict:
-    return {}
+    return {name: scalar.query for name, scalar in SCALARS.items()} | searches.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, scalar in SCALARS.items() if (sql := scalar.oracle())} | searches.SQL

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text, vector
+from marginalia.functions.embedding import Embedder, embedded
 
 #: Constant of the rank fusion, rows of a ranked list, results of a search, digits that scores are compared by.
 FUSION_K, DEPTH, RESULTS, DIGITS = 60.0, 200, 10, 6
@@ -166,20 +167,11 @@ def anchored(hits: DataFrame, chunks: DataFrame, excerpt: int = 500) -> DataFram
     return hits.join(anchor, "chunk_id", "left").withColumn("excerpt", F.coalesce(body, first)).drop("chunk_text")
 
 
-def hashed_vector(c: Column, width: int) -> Column:
-    """A text's words hashed into ``width`` counts of length 1: a stand-in for a model, the same in every engine."""
-    words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-    cells = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % width)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(cells, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
-
-
-def snippets(hits: DataFrame, chunks: DataFrame, width: int = 64, excerpt: int = 500) -> DataFrame:
+def snippets(hits: DataFrame, chunks: DataFrame, embed: Embedder, excerpt: int = 500) -> DataFrame:
     """Of each hit's chunk the unit that is most like the query: term, chunk_id, unit, score, snippet.
 
     Units are top bullets, or the sections of a chunk without bullets, or its whole body; stubs, blanks and bare headings
-    are left out. The first of equal units wins.
+    are left out. The first of equal units wins. ``embed`` turns units and terms into vectors.
     """
     found = hits.filter("chunk_id >= 0").join(chunks.select("chunk_id", "text"), "chunk_id")
     body = text.without_title(F.col("text"), F.col("title"))
@@ -187,7 +179,8 @@ def snippets(hits: DataFrame, chunks: DataFrame, width: int = 64, excerpt: int =
     sections = F.split(body, r"(?m)(?=^\s*#+[ \t])", -1)
     units = F.filter(F.when(F.size(bullets) > 0, bullets).otherwise(sections), lambda u: (text.trimmed(u) != "") & ~text.is_heading_only(u))
     every = found.select("term", "title", "chunk_id", F.posexplode(units).alias("unit", "display"))
-    scored = every.withColumn("score", F.round(vector.dot(hashed_vector(F.concat(F.lit("# "), "title", F.lit("\n\n"), "display"), width), hashed_vector(F.col("term"), width)), DIGITS))
+    shown = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), "display")
+    scored = every.withColumn("score", F.round(vector.dot(embedded(shown, embed), embedded(F.col("term"), embed)), DIGITS))
     order = Window.partitionBy("term", "chunk_id").orderBy(F.desc("score"), "unit")
     best = scored.withColumn("n", F.row_number().over(order)).filter("n = 1")
     return best.select("term", "chunk_id", "unit", "score", text.shortened(F.col("display"), excerpt).alias("snippet"))

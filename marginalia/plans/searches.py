@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import uri
+from marginalia.functions.embedding import hashed_words
 from marginalia.functions.vector import is_usable
 from marginalia.operators import search
 from marginalia.plans.scalars import sql_encoded
@@ -72,7 +73,7 @@ def search_excerpts(spark: SparkSession, folder: str) -> DataFrame:
 
 def search_snippets(spark: SparkSession, folder: str) -> DataFrame:
     notes, chunks, queries = tables(spark, folder)
-    return search.snippets(search.hybrid_search(notes, chunks, queries), chunks)
+    return search.snippets(search.hybrid_search(notes, chunks, queries), chunks, hashed_words(WIDTH))
 
 
 def ranking_eval(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import searches, states
+from marginalia.plans import searches, states, streams
 from marginalia.plans.scalars import SCALARS
 
 
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: scalar.query for name, scalar in SCALARS.items()} | searches.QUERIES | states.QUERIES
+    return {name: scalar.query for name, scalar in SCALARS.items()} | searches.QUERIES | states.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, scalar in SCALARS.items() if (sql := scalar.oracle())} | searches.SQL | states.SQL
+    return {name: sql for name, scalar in SCALARS.items() if (sql := scalar.oracle())} | searches.SQL | states.SQL | streams.SQL

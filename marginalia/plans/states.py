@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
-from marginalia.operators import answers, chunking, state
+from marginalia.functions.embedding import hashed_words
+from marginalia.operators import answers, chunking, state, summarize
 from marginalia.plans import searches
 from marginalia.plans.scalars import TOP_SQL, sql_lines, sql_trimmed
 from marginalia.tables import table
@@ -229,3 +230,29 @@ SQL = {
     "protocol_breaks": "SELECT * FROM (SELECT ask_id, string_agg(CASE event WHEN 'meta' THEN 'm' WHEN 'delta' THEN 't' WHEN 'done' THEN 'd' WHEN 'error' THEN 'e' ELSE '?' END, '' ORDER BY seq, CASE event WHEN 'meta' THEN 'm' WHEN 'delta' THEN 't' WHEN 'done' THEN 'd' WHEN 'error' THEN 'e' ELSE '?' END) AS events FROM (SELECT DISTINCT * FROM ask_events) GROUP BY ask_id) WHERE NOT regexp_matches(events, '^(mt*d|mt*e|e)$')",
     "question_check": f"SELECT ask_id, CASE WHEN coalesce({sql_trimmed('q')}, '') = '' THEN 'empty' WHEN length({sql_trimmed('q')}) > 4000 THEN 'too long' END AS error FROM (SELECT ask_id, meta ->> '$.question' AS q FROM ({EVENTS}))",
 }
+
+
+def first_sentence(prompts: list[str]) -> list[str | None]:
+    """A stand-in for a model: the first line of the page that isn't blank."""
+    pages = (p.split("\nContent:\n", 1)[-1].rsplit("\nSummary:", 1)[0] for p in prompts)
+    return [next((row.strip(" \t-*>#") for row in page.split("\n") if row.strip(" \t-*>#")), None) for page in pages]
+
+
+def summarize_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcome of summarizing each note's newest scan with a stand-in for a model."""
+    pages = titled(spark, folder).withColumn("note_id", F.xxhash64("rel_path"))
+    out = summarize.summarized(pages, first_sentence, hashed_words(64))
+    return out.select("note_id", "outcome", "summary", F.size("vector").alias("width"))
+
+
+def stream_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Text of each recorded delta, from the lines that a model would have streamed it in."""
+    delta = F.get_json_object("data", "$.text")
+    line = lambda c: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(c.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
+    body = F.concat(F.lit(": hello\n"), line(delta), F.lit("data: nothing\n"), line(F.lit("!")), F.lit("data: [DONE]\n"), line(F.lit("?")))
+    rows = table(spark, folder, "ask_events").distinct().filter("event = 'delta' and data is not null")
+    return rows.select("ask_id", "seq", summarize.stream_text(body).alias("text"))
+
+
+QUERIES |= {"summarize_scans": summarize_scans, "stream_answers": stream_answers}
+SQL |= {"stream_answers": "SELECT ask_id, seq, (data ->> '$.text') || '!' AS text FROM (SELECT DISTINCT * FROM ask_events) WHERE event = 'delta' AND data IS NOT NULL"}

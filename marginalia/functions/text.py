@@ -5,6 +5,8 @@ Patterns run in the JVM with Unicode classes and ``\\n`` as the only line end (`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ MEANINGFUL = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{3040}-\x{
 TOKEN_CHARS, SUMMARY_CHARS = 4, 16
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def replaced(c: Column, pattern: str, by: str = "") -> Column:
     """All matches replaced."""
     return F.regexp_replace(c, FLAGS + pattern, by)
@@ -54,8 +61,11 @@ def trimmed_start(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines without their ends (``\\n`` or ``\\r\\n``); a final line end begins no line."""
-    every = F.transform(F.split(c, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
-    return F.when(F.element_at(F.split(c, "\n", -1), -1) == "", F.slice(every, 1, F.size(every) - 1)).otherwise(every)
+
+    def ends_off(parts: Column) -> Column:
+        return F.transform(F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts), lambda x: F.regexp_replace(x, r"\r\z", ""))
+
+    return let(F.split(c, "\n", -1), ends_off)
 
 
 def without_frontmatter(c: Column) -> Column:
@@ -92,7 +102,9 @@ def without_template_heads(c: Column) -> Column:
             F.when(head, F.lit(-1)).otherwise(level).alias("indent"),
         )
 
-    return F.aggregate(lines(c), state, step, lambda s: s["out"])
+    plain = lambda every: F.array_join(F.transform(every, lambda line: F.concat(line, F.lit("\n"))), "")
+    heads = lambda every: F.exists(every, lambda line: is_top_bullet(line) & body(line).isin(*TEMPLATE_HEADS))
+    return let(lines(c), lambda every: F.when(heads(every), F.aggregate(every, state, step, lambda s: s["out"])).otherwise(plain(every)))
 
 
 def without_shared_syntax(c: Column) -> Column:
@@ -122,9 +134,13 @@ def plain_text(c: Column) -> Column:
 
 def top_units(c: Column) -> Column:
     """Lines of each top bullet and what is below it; lines before the first one are left out."""
-    every = lines(c)
-    starts = F.filter(F.transform(every, lambda line, i: F.when(is_top_bullet(line), i + 1)), lambda i: i.isNotNull())
-    return F.transform(starts, lambda s, i: F.slice(every, s, F.coalesce(F.try_element_at(starts, i + 2), F.size(every) + 1) - s))
+
+    def cut(every: Column) -> Column:
+        starts = F.filter(F.transform(every, lambda line, i: F.when(is_top_bullet(line), i + 1)), lambda i: i.isNotNull())
+        unit = lambda starts: F.transform(starts, lambda s, i: F.slice(every, s, F.coalesce(F.try_element_at(starts, i + 2), F.size(every) + 1) - s))
+        return let(starts, unit)
+
+    return let(lines(c), cut)
 
 
 def is_stub(unit: Column) -> Column:
@@ -160,8 +176,8 @@ def is_heading(line: Column) -> Column:
 
 def is_heading_only(c: Column) -> Column:
     """Whether the only line that isn't blank is a heading."""
-    filled = F.filter(lines(c), lambda line: trimmed(line) != "")
-    return (F.size(filled) == 1) & F.coalesce(is_heading(F.try_element_at(filled, F.lit(1))), F.lit(False))
+    only = lambda filled: (F.size(filled) == 1) & F.coalesce(is_heading(F.try_element_at(filled, F.lit(1))), F.lit(False))
+    return let(F.filter(lines(c), lambda line: trimmed(line) != ""), only)
 
 
 def first_content_line(c: Column, title: Column) -> Column:

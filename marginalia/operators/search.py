@@ -175,9 +175,12 @@ def snippets(hits: DataFrame, chunks: DataFrame, embed: Embedder, excerpt: int =
     """
     found = hits.filter("chunk_id >= 0").join(chunks.select("chunk_id", "text"), "chunk_id")
     body = text.without_title(F.col("text"), F.col("title"))
-    bullets = F.transform(F.filter(text.top_units(body), lambda u: ~text.is_stub(u)), lambda u: F.array_join(u, "\n"))
-    sections = F.split(body, r"(?m)(?=^\s*#+[ \t])", -1)
-    units = F.filter(F.when(F.size(bullets) > 0, bullets).otherwise(sections), lambda u: (text.trimmed(u) != "") & ~text.is_heading_only(u))
+
+    def parts(body: Column) -> Column:
+        bullets = F.transform(F.filter(text.top_units(body), lambda u: ~text.is_stub(u)), lambda u: F.array_join(u, "\n"))
+        return text.let(bullets, lambda b: F.when(F.size(b) > 0, b).otherwise(F.split(body, r"(?m)(?=^\s*#+[ \t])", -1)))
+
+    units = F.filter(text.let(body, parts), lambda u: (text.trimmed(u) != "") & ~text.is_heading_only(u))
     every = found.select("term", "title", "chunk_id", F.posexplode(units).alias("unit", "display"))
     shown = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), "display")
     scored = every.withColumn("score", F.round(vector.dot(embedded(shown, embed), embedded(F.col("term"), embed)), DIGITS))

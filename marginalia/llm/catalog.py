@@ -16,8 +16,11 @@ def document_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def limit(spark: SparkSession, folder: str, purpose: str) -> tuple[int, int]:
-    """(max_tokens, overlap_tokens) of one row of the two-row table of limits."""
-    row = table(spark, folder, "size_limits").filter(F.col("purpose") == purpose).select("max_tokens", "overlap_tokens").first()
+    """(max_tokens, overlap_tokens) of a purpose in the two-row table of limits; the strictest, if it is there more than once."""
+    rows = table(spark, folder, "size_limits").filter((F.col("purpose") == purpose) & F.col("max_tokens").isNotNull())
+    row = rows.select("max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap_tokens")).orderBy("max_tokens", "overlap_tokens").first()
+    if row is None:
+        raise ValueError(f"size_limits has no limit for {purpose}")
     return row["max_tokens"], row["overlap_tokens"]
 
 

@@ -185,8 +185,8 @@ def fit(texts: DataFrame, labels: DataFrame, folder: str = TOKENIZERS, sample: i
     learned = training_texts(texts, labels, sample).groupBy("lang").applyInPandas(train, "lang string, piece int, p double")
     rows = learned.collect()
     languages = sorted({r["lang"] for r in rows})
-    p = np.full((Vocabulary(path).size, len(languages)), 0.0)
-    p += EVEN / len(p)
+    languages = languages or ["und"]  # nothing is labelled: no language can be told from another
+    p = np.full((Vocabulary(path).size, len(languages)), EVEN / Vocabulary(path).size)
     for r in rows:
         p[r["piece"], languages.index(r["lang"])] = r["p"]
     return languages, p
@@ -274,9 +274,11 @@ def labelled_segments(texts: DataFrame, labels: DataFrame, folder: str = TOKENIZ
     """Segments of all ``texts`` (id, text) with what their ``labels`` (id, lang) say: id, chars, seg, lang, confidence, label_state.
 
     label_state: "right" (all labels of the text name its only language), "mixed" (the text has several segments),
-    "missing" (no label, or none that names a language), "wrong".
+    "missing" (no label, or none that names a language), "wrong". Rows without id take no part, repeated rows count once.
+    Without any labelled text every language is "und".
     """
-    judged = identify(texts, *fit(texts, labels, folder), folder)
+    texts = texts.filter("id is not null")
+    judged = identify(texts, *fit(texts, labels, folder), folder).dropDuplicates(["id"])
     codes = labels.groupBy("id").agg(F.collect_set(language_code(F.col("lang"))).alias("codes"))  # the few labels of one text
     n, first = F.size("segments"), F.try_element_at("segments", F.lit(1))["lang"]
     state = (
@@ -285,5 +287,5 @@ def labelled_segments(texts: DataFrame, labels: DataFrame, folder: str = TOKENIZ
         .when(F.forall("codes", lambda c: c.eqNullSafe(first)), "right")
         .otherwise("wrong")
     )
-    joined = judged.join(codes, "id", "left").withColumn("label_state", state)
+    joined = judged.join(codes.filter("id is not null"), "id", "left").withColumn("label_state", state)
     return joined.select("id", "chars", "label_state", F.posexplode("segments").alias("seg", "s")).select("id", "chars", "seg", "s.lang", "s.confidence", "label_state")

@@ -25,6 +25,8 @@ BOUNDARIES = (
 PATTERNS = tuple((where, regex.compile(pattern)) for where, pattern in BOUNDARIES)
 #: Rows of a note are numbered in stretches of this many old ordinals, so that a long note is no single task.
 ORD_STRETCH = 1000
+#: Stands for a missing note_id between Spark and pandas.
+NO_NOTE = -(1 << 62)
 
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +90,8 @@ def split(chunks: DataFrame, max_tokens: int, overlap_tokens: int) -> DataFrame:
     """Pieces of the oversized rows of ``chunks`` (chunk_id, note_id, ord, text): chunk_id, note_id, piece, text, cut.
 
     ``cut`` is "hard" where a stretch without any boundary exceeded the limit, else "natural". Rows within the limit and
-    null texts give no piece. The pieces without their overlaps add up to the text.
+    null texts give no piece, rows without chunk_id take no part; repeated rows count once. The pieces without their overlaps
+    add up to the text.
     """
     if not 0 <= overlap_tokens < max_tokens:
         raise ValueError("overlap_tokens must be at least 0 and below max_tokens")
@@ -102,15 +105,16 @@ def split(chunks: DataFrame, max_tokens: int, overlap_tokens: int) -> DataFrame:
                 out += [(chunk_id, note_id, i, part, "hard" if hard else "natural") for i, part in enumerate(parts)]
             yield pd.DataFrame(out, columns=["chunk_id", "note_id", "piece", "text", "cut"])
 
-    large = chunks.filter(oversized(F.col("text"), max_tokens)).select("chunk_id", "note_id", "text")
-    return large.mapInPandas(cut, "chunk_id long, note_id long, piece int, text string, cut string")
+    large = chunks.filter(oversized(F.col("text"), max_tokens) & F.col("chunk_id").isNotNull()).select("chunk_id", F.coalesce("note_id", F.lit(NO_NOTE)).alias("note_id"), "text")
+    out = large.distinct().mapInPandas(cut, "chunk_id long, note_id long, piece int, text string, cut string")
+    return out.withColumn("note_id", F.nullif("note_id", F.lit(NO_NOTE)))
 
 
 def renumbered(chunks: DataFrame, parts: DataFrame) -> DataFrame:
     """``parts`` with ``ord``: the place of a piece among all chunks and pieces of its note, in reading order from 0."""
     counts = parts.groupBy("chunk_id").agg(F.count("*").alias("_parts"))
     stretch = F.floor(F.coalesce(F.col("ord"), F.lit(-1)) / ORD_STRETCH)
-    rows = chunks.select("chunk_id", "note_id", "ord", stretch.alias("_stretch")).join(counts, "chunk_id", "left").fillna(1, ["_parts"])
+    rows = chunks.filter("chunk_id is not null").dropDuplicates(["chunk_id"]).select("chunk_id", "note_id", "ord", stretch.alias("_stretch")).join(counts, "chunk_id", "left").fillna(1, ["_parts"])
     earlier = Window.partitionBy("note_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy("note_id", "_stretch").agg(F.sum("_parts").alias("_sum"))
     firsts = firsts.select("note_id", "_stretch", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_first"))

@@ -55,11 +55,21 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_segments(spark, folder).filter("chars >= 40 and label_state != 'right'").select("chunk_id", "seg", "lang")
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of vectors of similarity 0.9 or more in which one is among the 5 most similar to the other."""
+def all_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of chunks and of summaries: kind, id, vector."""
     chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
     notes = table(spark, folder, "notes").select(F.lit("note").alias("kind"), F.col("note_id").alias("id"), F.col("summary_embedding").alias("vector"))
-    return neighbours.similar_pairs(chunks.union(notes)).select("kind", "id_a", "id_b")
+    return chunks.union(notes)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vectors of similarity 0.9 or more in which one is among the 5 most similar to the other."""
+    return neighbours.similar_pairs(all_vectors(spark, folder)).select("kind", "id_a", "id_b")
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar vectors, however far, of every vector whose id is divisible by 50."""
+    return neighbours.nearest(all_vectors(spark, folder), F.col("id") % 50 == 0)
 
 
 def p5_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +106,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_pieces, p2_found, p3_segments, p3_found, p4_found, p5_containers, p5_found, p6_mix, p6_report, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_pieces, p2_found, p3_segments, p3_found, p4_found, p4_neighbours, p5_containers, p5_found, p6_mix, p6_report, p6_found, p7_found)}
 
 
 P2_FOUND_SQL = r"""
@@ -108,5 +118,15 @@ WHERE length(text) // 4 > lim.max_tokens
 """
 
 
+P4_NEIGHBOURS_SQL = """
+WITH v AS (SELECT 'chunk' AS kind, chunk_id AS id, embedding::DOUBLE[] AS x FROM chunks UNION ALL SELECT 'note', note_id, summary_embedding::DOUBLE[] FROM notes),
+     u AS (SELECT * FROM v WHERE len(x) = 64 AND len(list_filter(x, lambda e: e IS NOT NULL AND isfinite(e))) = 64 AND len(list_filter(x, lambda e: e <> 0)) > 0)
+SELECT kind, id, neighbour, rank, similarity FROM (
+  SELECT a.kind, a.id, b.id AS neighbour, round(list_cosine_similarity(a.x, b.x), 6) AS similarity,
+         (row_number() OVER (PARTITION BY a.kind, a.id ORDER BY round(list_cosine_similarity(a.x, b.x), 6) DESC, b.id) - 1)::INTEGER AS rank
+  FROM u a JOIN u b ON a.kind = b.kind AND a.id <> b.id WHERE a.id % 50 = 0) WHERE rank < 5
+"""
+
+
 def oracle_sql() -> dict:
-    return {"p2_found": P2_FOUND_SQL}
+    return {"p2_found": P2_FOUND_SQL, "p4_neighbours": P4_NEIGHBOURS_SQL}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
+from marginalia.operators.summarize import Chat, answered
 
 #: Score below which an answer's sources are weak, sources and question characters allowed, excerpt of a source.
 CONFIDENT, MOST_SOURCES, QUESTION_CHARS, EXCERPT_CHARS = 0.020, 8, 4000, 2400
@@ -91,3 +92,40 @@ def valid_questions(questions: DataFrame) -> DataFrame:
     plain = text.trimmed(F.col("question"))
     error = F.when(F.coalesce(plain, F.lit("")) == "", "empty").when(F.length(plain) > QUESTION_CHARS, "too long")
     return questions.withColumn("error", error)
+
+
+#: Code points of a page and of a query that a highlight may use.
+HIGHLIGHT_PAGE, HIGHLIGHT_QUERY = 32_000, 4_000
+
+
+def escaped(c: Column) -> Column:
+    """A text as it may stand in HTML."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c
+
+
+def linked_citations(answer: Column, sources: Column) -> Column:
+    """An answer as HTML in which [n] is a link to source n, if there is one; ``sources``: array of numbers."""
+    parts = F.split(escaped(answer), r"(?<=\[\d{1,9}\])|(?=\[\d{1,9}\])", -1)
+    number = lambda p: F.regexp_extract(p, r"^\[(\d{1,9})\]$", 1)
+    link = lambda p: F.concat(F.lit('<a href="#source-'), number(p), F.lit('">'), p, F.lit("</a>"))
+    known = lambda p: (number(p) != "") & F.coalesce(F.array_contains(sources, number(p).try_cast("int")), F.lit(False))
+    return F.array_join(F.transform(parts, lambda p: F.when(known(p), link(p)).otherwise(p)), "")
+
+
+def highlights(hits: DataFrame, chunks: DataFrame, pages: DataFrame, chat: Chat) -> DataFrame:
+    """What of each hit's page a model finds to the point: term, note_id, chunk_id, highlight.
+
+    ``hits``: term, note_id, chunk_id, title; ``chunks``: chunk_id, text; ``pages``: note_id, content. A page that isn't
+    there is replaced by the chunk; a query that is too long gives an empty highlight, a model that fails the chunk's first line.
+    """
+    found = hits.join(chunks.select("chunk_id", "text"), "chunk_id").join(pages.select("note_id", "content"), "note_id", "left")
+    body = text.without_title(F.col("text"), F.col("title"))
+    page = text.clipped(F.coalesce("content", body), HIGHLIGHT_PAGE)
+    short = F.length("term") <= HIGHLIGHT_QUERY
+    ask = F.concat(F.lit("Quote the passage of the page that answers the query.\nQuery: "), "term", F.lit("\nPage:\n"), page)
+    answer = text.trimmed(answered(F.when(short, ask), chat))
+    first = text.first_content_line(F.col("text"), F.col("title"))
+    told = F.when(~short, "").when(F.coalesce(answer, F.lit("")) != "", answer).otherwise(first)
+    return found.select("term", "note_id", "chunk_id", told.alias("highlight"))

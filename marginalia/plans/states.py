@@ -256,3 +256,62 @@ def stream_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES |= {"summarize_scans": summarize_scans, "stream_answers": stream_answers}
 SQL |= {"stream_answers": "SELECT ask_id, seq, (data ->> '$.text') || '!' AS text FROM (SELECT DISTINCT * FROM ask_events) WHERE event = 'delta' AND data IS NOT NULL"}
+
+
+def looked_up_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes that some recorded answer was given as a source."""
+    wanted = answers.assembled(table(spark, folder, "ask_events")).select(F.explode("sources").alias("s")).select("s.note_id")
+    return notes_of(spark, folder).join(wanted.distinct(), "note_id", "left_semi").select("note_id", "page_title", "rel_path")
+
+
+def linked_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded answers as HTML with links to their sources."""
+    told = answers.assembled(table(spark, folder, "ask_events"))
+    return told.select("ask_id", answers.linked_citations(F.col("answer"), F.col("sources.n")).alias("html"))
+
+
+def link_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each link that search results carry, whether a note is stored where it leads."""
+    hits = searches.hybrid_search(spark, folder).select("note_id", "link").distinct()
+    file = F.try_url_decode(F.regexp_extract("link", "&file=(.*)$", 1))
+    known = notes_of(spark, folder).select(text.percent_decoded(F.col("rel_path")).alias("path"), F.lit(True).alias("known")).distinct()
+    led = hits.withColumn("path", F.concat(file, F.lit(".md"))).join(known, "path", "left")
+    return led.select("note_id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def link_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of documents that carry an id: host, id, how many documents link there."""
+    urls = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(https?://[^\s()<>|\[\]]+)"), F.lit(1)))).alias("url")
+    read = table(spark, folder, "documents").select("doc_id", urls)
+    asked = read.select("doc_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", r"[?&]id=(\d+)", 1).alias("id"))
+    return asked.filter("id != ''").groupBy("host", "id").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+def search_highlights(spark: SparkSession, folder: str) -> DataFrame:
+    """Highlights of the first three hits of each query, with a stand-in for a model."""
+    hits = searches.hybrid_search(spark, folder).filter("rank < 3")
+    stored = notes_of(spark, folder).select("note_id", "rel_path")
+    pages = state.latest_scan(table(spark, folder, "raw_notes")).join(stored, "rel_path").select("note_id", "content")
+    return answers.highlights(hits, table(spark, folder, "chunks"), pages, longest_line)
+
+
+def longest_line(prompts: list[str]) -> list[str | None]:
+    """A stand-in for a model: the page's longest line."""
+    return [max(p.split("\nPage:\n", 1)[-1].split("\n"), key=len) for p in prompts]
+
+
+def debug_dump(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each note's newest scan, one text with what was read, what is left of it, and its chunks."""
+    read = titled(spark, folder)
+    chunks = chunking.chunk(read).groupBy("rel_path").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("chunks"))  # the chunks of one note
+    left = F.when(F.col("outline"), text.outline_text(F.col("content"))).otherwise(text.prose_text(F.col("content")))
+    parts = F.concat(F.lit("=== read\n"), "content", F.lit("\n=== left\n"), left, F.lit("\n=== chunks\n"), F.coalesce(F.array_join(F.col("chunks.text"), "\n---\n"), F.lit("")))
+    return read.join(chunks, "rel_path", "left").select("rel_path", parts.alias("dump"))
+
+
+QUERIES |= {f.__name__: f for f in (looked_up_notes, linked_answers, link_targets, link_parameters, search_highlights, debug_dump)}
+SQL |= {
+    "looked_up_notes": f"SELECT note_id, page_title, rel_path FROM notes WHERE note_id IN (SELECT unnest((meta -> '$.sources[*].note_id')::BIGINT[]) FROM ({EVENTS}) WHERE meta IS NOT NULL)",
+    "link_targets": f"SELECT DISTINCT note_id, true AS known FROM ({searches.SQL['hybrid_search']})",
+    "link_parameters": r"SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '[?&]id=(\d+)', 1) AS id, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(https?://[^\s()<>|\[\]]+)', 1)) AS url FROM documents) WHERE regexp_matches(url, '[?&]id=\d') GROUP BY ALL",
+}

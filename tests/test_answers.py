@@ -53,3 +53,20 @@ def test_contexts(spark):
 def test_questions(spark):
     rows = spark.createDataFrame([("a?",), ("   ",), (None,), ("x" * 4001,)], "question string")
     assert [r["error"] for r in answers.valid_questions(rows).collect()] == [None, "empty", "empty", "too long"]
+
+
+def test_linked_citations(spark):
+    rows = spark.createDataFrame([("a <b> [1][7] [x]", [1, 2]), ("[2]", None), (None, [1])], "a string, s array<int>")
+    from pyspark.sql import functions as F
+
+    got = [r[0] for r in rows.select(answers.linked_citations(F.col("a"), F.col("s"))).collect()]
+    assert got == ['a &lt;b&gt; <a href="#source-1">[1]</a>[7] [x]', "[2]", None]
+
+
+def test_highlights(spark):
+    hits = spark.createDataFrame([("q", 1, 10, "T"), ("q" * 4001, 1, 10, "T"), ("fail", 2, 20, "U"), ("q", 3, -1, "V")], "term string, note_id long, chunk_id long, title string")
+    chunks = spark.createDataFrame([(10, "# T\n\nbody"), (20, "# U\n\nfirst\nsecond")], "chunk_id long, text string")
+    pages = spark.createDataFrame([(1, "the page")], "note_id long, content string")
+    chat = lambda prompts: [None if "fail" in p else " " + p[-8:] for p in prompts]
+    got = {(r["term"][:5], r["note_id"]): r["highlight"] for r in answers.highlights(hits, chunks, pages, chat).collect()}
+    assert got == {("q", 1): "the page", ("qqqqq", 1): "", ("fail", 2): "first"}

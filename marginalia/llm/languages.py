@@ -162,9 +162,12 @@ def fit_language(vocabulary: Vocabulary, counts: dict[str, int]) -> dict[int, fl
 
 
 def training_texts(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Rows of ``texts`` (id, text) with a label (id, lang) that names a language: ``sample`` of each at most, by hashed id."""
+    """Rows of ``texts`` (id, text) with a label (id, lang) that names a language: ``sample`` of each at most, by hashed id.
+
+    Only two-letter codes name a language that can be learned: a name that isn't known may be another word for one that is.
+    """
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    named = labels.select("id", language_code(F.col("lang")).alias("lang")).filter("lang is not null").distinct()
+    named = labels.select("id", language_code(F.col("lang")).alias("lang")).filter("lang rlike '^[a-z]{2}$'").distinct()
     chosen = named.withColumn("rank", rank).filter(F.col("rank") <= sample).drop("rank")
     return texts.filter("text is not null").join(F.broadcast(chosen), "id")
 

@@ -101,7 +101,7 @@ class Scalar:
 
 c = F.col
 RAW, NOTE, CHUNK = ("rel_path", "mtime"), ("note_id",), ("chunk_id",)
-#: Chunks with their line lists, for SQL over single lines.
+#: Code points of an excerpt.
 EXCERPT = 160
 NAMED = "(SELECT *, regexp_extract(rel_path, '([^/]*)$', 1) AS name FROM notes)"
 THINKING = "'<think>draft ' || rel_path || chr(10) || '</think>' || chr(10) || ' ' || summary"

@@ -9,7 +9,7 @@ from marginalia.functions import text
 from marginalia.functions.embedding import hashed_words
 from marginalia.operators import answers, chunking, state, summarize
 from marginalia.plans import searches
-from marginalia.plans.scalars import TOP_SQL, sql_lines, sql_trimmed
+from marginalia.plans.scalars import EMBEDDED, TOP_SQL, sql_lines, sql_trimmed
 from marginalia.tables import table
 
 NOTE = ("note_id", "rel_path", "page_title", "mtime", "chunker_version", "summary", "summary_status", "summary_attempts")
@@ -315,3 +315,23 @@ SQL |= {
     "link_targets": f"SELECT DISTINCT note_id, true AS known FROM ({searches.SQL['hybrid_search']})",
     "link_parameters": r"SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '[?&]id=(\d+)', 1) AS id, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(https?://[^\s()<>|\[\]]+)', 1)) AS url FROM documents) WHERE regexp_matches(url, '[?&]id=\d') GROUP BY ALL",
 }
+
+
+EXCERPTS = f"(SELECT h.*, CASE WHEN starts_with(text, '# ' || title || chr(10) || chr(10)) THEN substr(text, length(title) + 5) ELSE text END AS body FROM ({searches.SQL['hybrid_search']}) h LEFT JOIN (SELECT chunk_id, text FROM chunks) USING (chunk_id))"
+TRIMMED = sql_trimmed("body")
+SQL |= {
+    "search_excerpts": f"SELECT term, rank, note_id, chunk_id, coalesce(CASE WHEN length({TRIMMED}) > 500 THEN left({TRIMMED}, 500) || '…' ELSE {TRIMMED} END, ({sql_lines('summary')})[1], '') AS excerpt FROM {EXCERPTS}",
+    "ask_context": f"""
+SELECT term, count(*)::INTEGER AS sources, string_agg('[' || (rank + 1) || '] ' || coalesce(title, '') || coalesce(chr(10) || 'Summary: ' || summary, '')
+    || coalesce(chr(10) || 'Excerpt: ' || CASE WHEN length({TRIMMED}) > 2400 THEN left({TRIMMED}, 2400) || chr(10) || '…[truncated]' ELSE {TRIMMED} END, ''), chr(10) || chr(10) ORDER BY rank) AS context,
+  CASE WHEN max(score) < 0.02 THEN 'low' ELSE 'ok' END AS confidence FROM {EXCERPTS} WHERE rank < 8 GROUP BY term""",
+    "embed_batches": f"""
+WITH RECURSIVE sized AS (
+  SELECT note_id, ord, chunk_id, coalesce({EMBEDDED} + (length(text) - {EMBEDDED}) // 4, 0)::BIGINT AS tokens, row_number() OVER (PARTITION BY note_id ORDER BY ord, chunk_id) AS n FROM chunks),
+packed AS (
+  SELECT *, 0 AS batch, 1 AS held, tokens AS total FROM sized WHERE n = 1
+  UNION ALL
+  SELECT s.*, CASE WHEN full_ THEN batch + 1 ELSE batch END, CASE WHEN full_ THEN 1 ELSE held + 1 END, CASE WHEN full_ THEN s.tokens ELSE total + s.tokens END
+  FROM (SELECT p.note_id, p.n, p.batch, p.held, p.total FROM packed p) p JOIN sized s ON s.note_id = p.note_id AND s.n = p.n + 1, LATERAL (SELECT p.total + s.tokens > 7000 OR p.held >= 32 AS full_) f)
+SELECT note_id, ord, chunk_id, tokens, batch FROM packed""",
+}

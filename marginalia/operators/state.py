@@ -60,9 +60,9 @@ def upserted(notes: DataFrame, changes: DataFrame, version: int = CHUNKER, expec
         pick(fresh, F.lit(version), "chunker_version"), pick(fresh, F.lit(None), "summary"), pick(fresh, F.lit(QUEUED_LOW), "summary_status"),
         pick(fresh, F.lit(0), "summary_attempts"), pick(fresh, F.lit(None), "summary_embedding"),
     )
-    start = notes.agg(F.coalesce(F.max("note_id"), F.lit(0)).alias("start"))  # one row
+    start = notes.agg(F.coalesce(F.max("note_id"), F.lit(0))).first()[0]
     ranked = rank_within(news.filter("change = 'new'"), "change", ["rel_path"], expected)
-    numbered = ranked.crossJoin(F.broadcast(start)).withColumn("note_id", F.col("start") + F.col("rank") + 1)
+    numbered = ranked.withColumn("note_id", F.col("rank").cast("long") + start + 1)
     new = numbered.select(
         "note_id", "rel_path", text.page_title(F.col("rel_path")).alias("page_title"), F.col("new_mtime").alias("mtime"),
         F.col("new_hash").alias("content_hash"), F.lit(version).alias("chunker_version"), F.lit(None).cast("string").alias("summary"),
@@ -79,9 +79,9 @@ def removed(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def replaced_chunks(chunks: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     """``chunks`` with those of the ``changed`` notes (note_id) replaced by ``fresh`` ones (note_id, ord, text), with new ids and no vector yet."""
     kept = removed(chunks, changed, "note_id")
-    start = chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(0)).alias("start"))
+    start = chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
     # ids need not be dense: each note's rows get a stretch of their own behind the largest id
-    numbered = fresh.crossJoin(F.broadcast(start)).withColumn("chunk_id", F.col("start") + 1 + F.col("note_id") * (1 << 20) + F.col("ord"))
+    numbered = fresh.withColumn("chunk_id", F.col("note_id") * (1 << 20) + F.col("ord") + start + 1)
     return kept.unionByName(numbered.select("chunk_id", "note_id", "ord", "text", F.lit(None).cast("array<float>").alias("embedding")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
+from marginalia.functions.vector import is_usable
 from marginalia.functions.embedding import hashed_words
 from marginalia.operators import answers, chunking, state, summarize
 from marginalia.plans import searches
@@ -96,10 +97,13 @@ def summary_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def index_status(spark: SparkSession, folder: str) -> DataFrame:
     """One row: notes, notes with chunks, chunks, usable vectors."""
-    chunks = table(spark, folder, "chunks")
-    usable = searches.usable_vectors(spark, folder)
-    indexed = chunks.agg(F.count_distinct("note_id").alias("indexed_notes"), F.count("*").alias("indexed_chunks"))
-    return notes_of(spark, folder).agg(F.count("*").alias("total_notes")).crossJoin(indexed).crossJoin(usable.agg(F.count("*").alias("usable_vectors")))  # rows of one each
+    chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("kind"), "note_id", is_usable(F.col("embedding"), searches.WIDTH).alias("usable"))
+    rows = chunks.union(notes_of(spark, folder).select(F.lit("note"), "note_id", F.lit(False)))
+    is_chunk = F.col("kind") == "chunk"
+    return rows.agg(
+        F.count_if(~is_chunk).alias("total_notes"), F.count_distinct(F.when(is_chunk, F.col("note_id"))).alias("indexed_notes"),
+        F.count_if(is_chunk).alias("indexed_chunks"), F.count_if("usable").alias("usable_vectors"),
+    )
 
 
 def next_candidates(spark: SparkSession, folder: str) -> DataFrame:

@@ -45,11 +45,12 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 0, blocks: int = BLOCK
 
     ``targets`` (source, target_share, max_uses; a few rows): rows without source or share are ignored, repeated ones add
     their shares and take the larger cap, a missing cap counts as 1. Items of other sources, or none, count towards the
-    size of the mixture only. A source whose items don't suffice gives all it may; the blocks it leaves go to the others.
+    size of the mixture only. A source whose items don't suffice gives all it may; what it leaves stays open, so that the
+    others keep their targets.
 
-    Uses: id, source, tokens, uses (0 for items left out). Report: source, target_share, reached_share, target_tokens,
-    mixed_tokens, available_tokens, max_uses, short (not even all allowed uses reach the target). ``items`` is read
-    several times, so it should be settled.
+    Uses: id, source, tokens, uses (0 for items left out). Report: source, target_share, reached_share (of the size of all
+    items), mixture_share (of what was mixed), target_tokens, mixed_tokens, available_tokens, max_uses, short (not even all
+    allowed uses reach the target). ``items`` is read several times, so it should be settled.
     """
     spark = items.sparkSession
     wanted = (
@@ -65,7 +66,8 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 0, blocks: int = BLOCK
     total = sum(sums.values())
     has = {s: sum(n for (source, _), n in sums.items() if source == s) for s in goal}
     block = max(1.0, total / blocks)
-    quotas = sainte_lague({s: share for s, (share, _) in goal.items()}, blocks, {s: int(has[s] * goal[s][1] / block) for s in goal})
+    shares = {s: share for s, (share, _) in goal.items()}
+    quotas = sainte_lague(shares, round(blocks * sum(x for x in shares.values() if x > 0)), dict.fromkeys(shares, 2 * blocks))
     rows = []
     for s, (share, uses) in sorted(goal.items()):
         shards = max(1, min(SHARDS, -(-has[s] // SHARD_TOKENS)))
@@ -95,7 +97,8 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 0, blocks: int = BLOCK
         quota.select("source", "target_share", "target_tokens", "max_uses", "short").distinct()
         .join(reached, "source", "left")
         .fillna(0, ["mixed_tokens", "available_tokens"])
-        .withColumn("reached_share", F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy())))
-        .select("source", "target_share", "reached_share", "target_tokens", "mixed_tokens", "available_tokens", "max_uses", "short")
+        .withColumn("reached_share", F.try_divide(F.col("mixed_tokens"), F.lit(total)))
+        .withColumn("mixture_share", F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy())))  # a row for each source
+        .select("source", "target_share", "reached_share", "mixture_share", "target_tokens", "mixed_tokens", "available_tokens", "max_uses", "short")
     )
     return uses, report

@@ -7,7 +7,8 @@ windows start narrow and widen (virtual rehashing) until the query has k verifie
 A window on one line holds a fixed share of all vectors, so counting over a whole table takes quadratic work. The table
 is therefore first routed into cells by the pair of lines on which a vector projects highest; a vector is home in its best
 cell and visits the next ones, in several independent tables of cells. Counting runs inside a cell. Rows reach their
-cell by a range partitioning whose key goes on below the cell, so no cell has to fit one task.
+cell by a range partitioning whose key goes on below the cell, so no cell has to fit one task. Equal vectors are folded
+before, so that one of them is routed for all.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.tables import settle
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -82,7 +85,27 @@ def best_cells(x: np.ndarray, first: np.ndarray, second: np.ndarray, cells: int)
     return np.take_along_axis(names, np.argsort(-sums, axis=1, kind="stable")[:, :cells], 1)
 
 
-ROUTED = "kind string, tab int, cell long, sub int, line float, same long, id long, home boolean, q binary"
+#: Classes of equal vectors that are broadcast at most.
+FEW_CLASSES = 5_000
+
+
+def folded(vectors: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """``vectors`` with one row (the smallest id) for each class of equal vectors, named by ``same`` and ``twin``; the k + 1
+    smallest ids of each class of several (kind, same, twin, firsts), None without any; and ``vectors`` with those names."""
+    named = vectors.withColumns({"same": F.xxhash64("vector"), "twin": F.xxhash64(F.lit(1), F.col("vector"))})
+    key = ["kind", "same", "twin"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+    first = named.select(*key, "id").distinct().withColumn("place", place).filter(F.col("place") <= s.k + 1)
+    classes = settle(first.groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("firsts")).filter(F.size("firsts") > 1))
+    n = classes.count()
+    if not n:
+        return named, None, named
+    classes = F.broadcast(classes) if n <= FEW_CLASSES else classes
+    one = named.join(classes, key, "left").filter(F.col("firsts").isNull() | (F.col("id") == F.col("firsts")[0])).drop("firsts")
+    return settle(one), classes, named
+
+
+ROUTED = "kind string, tab int, cell long, sub int, line float, id long, home boolean, q binary"
 
 
 def routed(vectors: DataFrame, sizes: dict[str, int], centre: dict[str, np.ndarray], s: Settings) -> DataFrame:
@@ -106,11 +129,11 @@ def routed(vectors: DataFrame, sizes: dict[str, int], centre: dict[str, np.ndarr
                         n = len(x)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([kind] * n), pa.array(np.full(n, tab, np.int32)), pa.array(cells[:, place].astype(np.int64)), pa.array(sub.astype(np.int32)),
-                             pa.array(line.astype(np.float32)), rows.column("same"), rows.column("id"), pa.array(np.full(n, place == 0)), binary(q)],
-                            names=["kind", "tab", "cell", "sub", "line", "same", "id", "home", "q"],
+                             pa.array(line.astype(np.float32)), rows.column("id"), pa.array(np.full(n, place == 0)), binary(q)],
+                            names=["kind", "tab", "cell", "sub", "line", "id", "home", "q"],
                         )
 
-    return vectors.withColumn("same", F.xxhash64("vector")).mapInArrow(route, ROUTED)
+    return vectors.select("kind", "id", "vector").mapInArrow(route, ROUTED)
 
 
 def sorted_arrays(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,31 +258,13 @@ def nearest(vectors: DataFrame, asked: Column, s: Settings = Settings()) -> Data
 
 
 def candidates(rows: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (kind, id_a, id_b) that a cell found, from ``routed`` rows; pairs found in several cells repeat.
-
-    Equal vectors of a cell follow each other in its order. The first k + 1 stand for all: the others' best are among them.
-    """
+    """Pairs (kind, id_a, id_b) that a cell found, from ``routed`` rows; pairs found in several cells repeat."""
     lines = np.random.default_rng([s.seed, 99]).standard_normal((s.width, s.lines)).astype(np.float32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(kind: str, same: np.ndarray, ids: np.ndarray, home: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-            first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
-            group = np.searchsorted(first, np.arange(len(same)), side="right") - 1
-            place = np.arange(len(same)) - first[group]
-            out, kept = [np.zeros((2, 0), np.int64)], s.k + 1
-            for c in range(kept):  # copies with the first of their group
-                other = first[group] + c
-                held = (other < len(same)) & (place != c)
-                held &= group[np.minimum(other, len(same) - 1)] == group
-                out.append(np.stack([ids[held], ids[np.minimum(other, len(same) - 1)][held]]))
-            i, j = similar_in_cell(q[first], home[first], lines, s)
-            size = np.append(first[1:], len(same)) - first
-            for c in range(kept):
-                for d in range(kept):
-                    held = (size[i] > c) & (size[j] > d)
-                    if held.any():
-                        out.append(np.stack([ids[first[i[held]] + c], ids[first[j[held]] + d]]))
-            pairs = np.concatenate(out, axis=1)
+        def found(kind: str, ids: np.ndarray, home: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+            i, j = similar_in_cell(q, home, lines, s)
+            pairs = np.stack([ids[i], ids[j]])
             pairs = np.unique(np.sort(pairs, axis=0), axis=1)
             if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * pairs.shape[1]), pa.array(pairs[0]), pa.array(pairs[1])], names=["kind", "id_a", "id_b"])
@@ -270,7 +275,7 @@ def candidates(rows: DataFrame, s: Settings) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held)
             buffer = np.concatenate([np.frombuffer(b.column("q").buffers()[2], np.int8)[b.column("q").offset * s.width :][: len(b) * s.width] for b in held])
-            yield from found(key[0], *(whole.column(c).to_numpy() for c in ("same", "id", "home")), buffer.reshape(-1, s.width))
+            yield from found(key[0], *(whole.column(c).to_numpy() for c in ("id", "home")), buffer.reshape(-1, s.width))
 
         for batch in batches:
             kinds = batch.column("kind").to_numpy(zero_copy_only=False)
@@ -293,7 +298,7 @@ def candidates(rows: DataFrame, s: Settings) -> DataFrame:
             yield from flush()
 
     order = ["kind", "tab", "cell", "sub", "line"]
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "same", "id")
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "id")
     return sorted_rows.mapInArrow(count, "kind string, id_a long, id_b long")
 
 
@@ -317,22 +322,34 @@ def centres(vectors: DataFrame, sizes: dict[str, int], s: Settings) -> dict[str,
     return out
 
 
+def cosine(x: Column, y: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, e: t + e)
+    return dot(x, y) / F.sqrt(dot(x, x)) / F.sqrt(dot(y, y))
+
+
 def similar_pairs(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Pairs (kind, id_a, id_b, similarity), id_a < id_b, of at least ``s.floor``, in which one is among the other's best k.
 
     ``vectors``: kind, id, vector. Unusable vectors take no part, equal similarities go to the smaller id. Repeated ids of
     a kind count once for each vector they come with; rows without id or vector take no part. The approximation can only miss pairs: similarities are exact.
     """
-    vectors = usable(vectors, s.width)
+    vectors, classes, named = folded(usable(vectors, s.width), s)
     sizes = {r["kind"]: r["count"] for r in vectors.groupBy("kind").count().collect()}  # one row for each kind
-    found = candidates(routed(vectors, sizes, centres(vectors, sizes, s), s), s).distinct()
+    found = candidates(routed(vectors, sizes, centres(vectors, sizes, s), s), s).filter("id_a < id_b").distinct()
     for side in ("a", "b"):
-        own = vectors.select("kind", F.col("id").alias(f"id_{side}"), F.col("vector").alias(f"vector_{side}"))
+        own = vectors.select("kind", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "same", "twin", "vector")))
         found = found.join(own, ["kind", f"id_{side}"])
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, e: t + e)
-    a, b = F.col("vector_a"), F.col("vector_b")
-    cosine = dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
-    exact = found.select("kind", "id_a", "id_b", cosine.alias("similarity")).filter(F.col("similarity") >= s.floor)
+    exact = found.withColumn("similarity", cosine(F.col("vector_a"), F.col("vector_b"))).drop("vector_a", "vector_b").filter(F.col("similarity") >= s.floor)
+    if classes is not None:  # a class's k + 1 smallest ids stand for it: the best of the others are among them
+        for side in ("a", "b"):
+            own = classes.select("kind", *(F.col(c).alias(f"{c}_{side}") for c in ("same", "twin", "firsts")))
+            ids = F.explode(F.coalesce(f"firsts_{side}", F.array(f"id_{side}")))
+            exact = exact.join(own, ["kind", f"same_{side}", f"twin_{side}"], "left").withColumn(f"id_{side}", ids).drop(f"firsts_{side}")
+        copies = named.join(classes, ["kind", "same", "twin"]).select("kind", F.col("id").alias("id_a"), F.explode("firsts").alias("id_b"), cosine(F.col("vector"), F.col("vector")).alias("similarity"))
+        exact = exact.select(copies.columns).union(copies.filter("id_a != id_b"))
+    exact = exact.select("kind", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity")
+    if classes is not None:
+        exact = exact.distinct()  # pairs of a class's first ids come from both
     both = exact.select("*", F.explode(F.array("id_a", "id_b")).alias("query"))
     rank = F.row_number().over(Window.partitionBy("kind", "query").orderBy(F.desc("similarity"), F.when(F.col("query") == F.col("id_a"), F.col("id_b")).otherwise(F.col("id_a"))))
     return both.withColumn("rank", rank).filter(F.col("rank") <= s.k).select("kind", "id_a", "id_b", "similarity").distinct()

@@ -81,3 +81,19 @@ def test_nearest_equals_brute_force(spark, clustered, monkeypatch):
         best = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-sims[i, j], j))[:5]
         assert [n for n, _ in got[("v", int(ids[i]))]] == [int(ids[j]) for j in best]
     assert ("w", 0) not in got
+
+
+def test_more_copies_than_a_run_holds(spark, clustered):
+    rng = np.random.default_rng(6)
+    few = clustered[:80]
+    near = few[0] + rng.standard_normal((6, 64)) * 0.1
+    vectors = np.concatenate([few, near, np.repeat(few[:1], 150, axis=0)])
+    ids = rng.permutation(len(vectors)) + 1
+    got = {(r["id_a"], r["id_b"]) for r in similar_pairs(frame(spark, ids, vectors), Settings(run=40)).collect()}
+    true = brute(ids, vectors.astype(np.float32).astype(float).round(6), 5, 0.9)
+    of = dict(zip(ids, range(len(ids))))
+    copies = {0, *range(86, len(vectors))}
+    touches = lambda pairs: {(a, b) for a, b in pairs if of[a] in copies or of[b] in copies}
+    first = sorted(ids[sorted(copies)])[:6]
+    assert {(min(a, b), max(a, b)) for a in ids[sorted(copies)] for b in [c for c in first if c != a][:5]} == {(a, b) for a, b in touches(got) if of[a] in copies and of[b] in copies}
+    assert {p for p in touches(true) if not {of[p[0]], of[p[1]]} <= copies} <= got

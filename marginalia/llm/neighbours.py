@@ -6,9 +6,9 @@ windows start narrow and widen (virtual rehashing) until the query has k verifie
 
 A window on one line holds a fixed share of all vectors, so counting over a whole table takes quadratic work. The table
 is therefore first routed into cells by the pair of lines on which a vector projects highest; a vector is home in its best
-cell and visits the next ones, in several independent tables of cells. Counting runs inside a cell. Rows reach their
-cell by a range partitioning whose key goes on below the cell, so no cell has to fit one task. Equal vectors are folded
-before, so that one of them is routed for all.
+cell and visits the next ones, in several independent tables of cells. Counting runs inside a cell. A cell of more than
+``run`` vectors is no task of its own: its home vectors are compared with all of its vectors, in blocks. Equal vectors are
+folded before, so that one of them is routed for all.
 """
 
 from __future__ import annotations
@@ -30,8 +30,7 @@ class Settings:
 
     width: elements of a usable vector. k: neighbours wanted. floor: least similarity wanted. tables, cells: independent
     routings and cells of each that a vector is put into. per_cell: home vectors a cell has on average. run: vectors
-    counted against each other at most; larger cells are cut into overlapping runs along one more line. lines: projections
-    counted. windows: radii (chord lengths) tried one after the other; a window reaches ``reach`` radii to either side.
+    counted against each other at most; in larger cells every pair is compared. lines: projections counted. windows: radii (chord lengths) tried one after the other; a window reaches ``reach`` radii to either side.
     share: part of the lines that a candidate must collide on. slack: by how much a similarity of rounded vectors may
     be off. sample: rows that the centre is measured on.
     """
@@ -85,53 +84,79 @@ def best_cells(x: np.ndarray, first: np.ndarray, second: np.ndarray, cells: int)
     return np.take_along_axis(names, np.argsort(-sums, axis=1, kind="stable")[:, :cells], 1)
 
 
-#: Classes of equal vectors that are broadcast at most.
-FEW_CLASSES = 5_000
-
-
 def folded(vectors: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """``vectors`` with one row (the smallest id) for each class of equal vectors, named by ``same`` and ``twin``; the k + 1
-    smallest ids of each class of several (kind, same, twin, firsts), None without any; and ``vectors`` with those names."""
+    smallest ids of each class of several (kind, same, twin, firsts), None without any; and the rows of those classes."""
     named = vectors.withColumns({"same": F.xxhash64("vector"), "twin": F.xxhash64(F.lit(1), F.col("vector"))})
     key = ["kind", "same", "twin"]
     place = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
     first = named.select(*key, "id").distinct().withColumn("place", place).filter(F.col("place") <= s.k + 1)
     classes = settle(first.groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("firsts")).filter(F.size("firsts") > 1))
-    n = classes.count()
-    if not n:
-        return named, None, named
-    classes = F.broadcast(classes) if n <= FEW_CLASSES else classes
-    one = named.join(classes, key, "left").filter(F.col("firsts").isNull() | (F.col("id") == F.col("firsts")[0])).drop("firsts")
-    return settle(one), classes, named
+    if classes.isEmpty():
+        return named, None, named.limit(0)
+    joined = settle(named.join(classes, key, "left"))
+    return joined.filter(F.col("firsts").isNull() | (F.col("id") == F.col("firsts")[0])).drop("firsts"), classes, joined.filter("firsts is not null")
+
+
+ROUTED = "kind string, tab int, cell long, id long, home boolean, q binary"
 
 
-ROUTED = "kind string, tab int, cell long, sub int, line float, id long, home boolean, q binary"
+@dataclass(frozen=True)
+class Routing:
+    """The lines that vectors are routed by: cells of a side for each kind, and the mean direction of its vectors."""
+
+    side: dict[str, int]
+    centre: dict[str, np.ndarray]
+    s: Settings
+
+    def placed(self, batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, int, int, np.ndarray]]:
+        """Of each kind in ``batch`` its rows and unit vectors, and for each table and place from home on the rows' cells."""
+        kinds = batch.column("kind").to_numpy(zero_copy_only=False)
+        for kind in dict.fromkeys(kinds):
+            rows = batch.filter(pa.array(kinds == kind))
+            unit = unit_rows(rows.column("vector"), self.s.width)
+            x = (unit - self.centre[kind]).astype(np.float32)
+            for tab in range(self.s.tables):
+                rng = np.random.default_rng([self.s.seed, tab, self.side[kind]])
+                first, second = (rng.standard_normal((self.s.width, self.side[kind])).astype(np.float32) for _ in range(2))
+                cells = best_cells(x, first / np.linalg.norm(first, axis=0), second / np.linalg.norm(second, axis=0), self.s.cells)
+                for place in range(self.s.cells):
+                    yield kind, rows, unit, tab, place, cells[:, place].astype(np.int64)
+
+
+def routing(vectors: DataFrame, s: Settings) -> Routing:
+    sizes = {r["kind"]: r["count"] for r in vectors.groupBy("kind").count().collect()}  # one row for each kind
+    return Routing({kind: max(8, round((n / s.per_cell) ** 0.5)) for kind, n in sizes.items()}, centres(vectors, sizes, s), s)
 
 
-def routed(vectors: DataFrame, sizes: dict[str, int], centre: dict[str, np.ndarray], s: Settings) -> DataFrame:
-    """One row for each vector, table and cell that it is put into; ``q`` is the vector rounded to 8 bits."""
-    side = {kind: max(8, round((n / s.per_cell) ** 0.5)) for kind, n in sizes.items()}
+def crowded(vectors: DataFrame, way: Routing) -> dict[tuple[str, int, int], tuple[int, int]]:
+    """Home vectors and vectors of each cell (kind, table, cell) of more than ``run``: there are at most n * tables * cells / run."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, _, _, tab, place, cells in way.placed(batch):
+                names, n = np.unique(cells, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"kind": [kind] * len(n), "tab": np.full(len(n), tab), "cell": names, "home": n * (place == 0), "n": n})
+
+    parts = vectors.select("kind", "id", "vector").mapInArrow(count, "kind string, tab long, cell long, home long, n long")
+    sums = parts.groupBy("kind", "tab", "cell").agg(F.sum("home").alias("home"), F.sum("n").alias("n"))
+    return {(r["kind"], r["tab"], r["cell"]): (r["home"], r["n"]) for r in sums.filter((F.col("n") > way.s.run) & (F.col("home") > 0)).collect()}
+
+
+def routed(vectors: DataFrame, way: Routing, full: set[tuple[str, int, int]]) -> DataFrame:
+    """One row for each vector, table and cell outside ``full`` that it is put into; ``q`` is the vector rounded to 8 bits."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = batch.column("kind").to_numpy(zero_copy_only=False)
-            for kind in dict.fromkeys(kinds):
-                rows = batch.filter(pa.array(kinds == kind))
-                unit = unit_rows(rows.column("vector"), s.width)
-                q = np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8)
-                x = (unit - centre[kind]).astype(np.float32)
-                for tab in range(s.tables):
-                    rng = np.random.default_rng([s.seed, tab, side[kind]])
-                    first, second, third = (rng.standard_normal((s.width, side[kind])).astype(np.float32) for _ in range(3))
-                    first, second = first / np.linalg.norm(first, axis=0), second / np.linalg.norm(second, axis=0)
-                    cells, sub, line = best_cells(x, first, second, s.cells), (x @ third).argmax(axis=1), x @ third[:, 0]
-                    for place in range(s.cells):
-                        n = len(x)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([kind] * n), pa.array(np.full(n, tab, np.int32)), pa.array(cells[:, place].astype(np.int64)), pa.array(sub.astype(np.int32)),
-                             pa.array(line.astype(np.float32)), rows.column("id"), pa.array(np.full(n, place == 0)), binary(q)],
-                            names=["kind", "tab", "cell", "sub", "line", "id", "home", "q"],
-                        )
+            for kind, rows, unit, tab, place, cells in way.placed(batch):
+                out = [c for k, t, c in full if (k, t) == (kind, tab)]
+                at = np.flatnonzero(~np.isin(cells, out)) if out else np.arange(len(cells))
+                q = np.rint(unit[at] * (127 / np.abs(unit[at]).max(axis=1, keepdims=True))).astype(np.int8)
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * n, pa.string()), pa.array(np.full(n, tab, np.int32)), pa.array(cells[at]), rows.column("id").take(pa.array(at)), pa.array(np.full(n, place == 0)), binary(q)],
+                    names=["kind", "tab", "cell", "id", "home", "q"],
+                )
 
     return vectors.select("kind", "id", "vector").mapInArrow(route, ROUTED)
 
@@ -188,23 +213,18 @@ def similar_in_cell(q: np.ndarray, home: np.ndarray, lines: np.ndarray, s: Setti
 HELD, TASK_ROWS, BLOCK = 100_000, 20_000, 512
 #: By how much a product in single precision and its rounding may be off.
 ROUGH = 5e-6
+#: Pairs whose exact similarity is computed at once.
+EXACT = 200_000
 
 
-def nearest(vectors: DataFrame, asked: Column, s: Settings = Settings()) -> DataFrame:
-    """For the rows of ``vectors`` (kind, id, vector) that meet ``asked``, their k most similar others of the kind:
-    kind, id, neighbour, rank from 0, similarity (6 digits; equal ones go to the smaller id).
-
-    However far the neighbours are: there the windows would hold most vectors, so every vector is verified. Queries and
-    rows meet in blocks; no task holds more than HELD queries, whatever their number. Unusable vectors take no part.
-    """
-    vectors = usable(vectors, s.width).dropDuplicates(["kind", "id"])
-    n, n_asked = vectors.agg(F.count("*"), F.count_if(asked)).first()
-    parts, held = max(1, -(-n // TASK_ROWS)), max(1, -(-n_asked // HELD))
-    spread = lambda of: F.pmod(F.xxhash64("kind", "id"), F.lit(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+def compared(together: DataFrame, tasks: int, digits: int, s: Settings) -> DataFrame:
+    """The best k rows (role 1) of each query (role 0) in each group (kind, part, held) of ``together`` (and id, vector), every
+    pair being compared: kind, id, neighbour, similarity. The queries of a group are held, its rows stream."""
     columns = ["kind", "part", "held", "role", "id", "vector"]
-    queries = vectors.filter(asked).withColumn("held", spread(held)).withColumn("part", every(parts)).withColumn("role", F.lit(0))
-    rows = vectors.withColumn("part", spread(parts)).withColumn("held", every(held)).withColumn("role", F.lit(1))
+
+    def products(own: np.ndarray, unit: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        every = [np.einsum("ij,ij->i", own[row[a : a + EXACT]], unit[col[a : a + EXACT]]) for a in range(0, len(row), EXACT)]
+        return np.round(np.concatenate([np.zeros(0), *every]), digits)
 
     def best_of(asked_ids: np.ndarray, at: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, ...]:
         """The best k of each query among found rows (query's place, id, similarity), best first; a query itself is left out."""
@@ -246,13 +266,32 @@ def nearest(vectors: DataFrame, asked: Column, s: Settings = Settings()) -> Data
                     elif rough.shape[1] > s.k + 1:
                         least = np.partition(rough, -(s.k + 1), axis=1)[:, -(s.k + 1)].astype(np.float64)
                     row, col = np.nonzero(rough >= (least - ROUGH)[:, None].astype(np.float32))
-                    exact = np.round(np.einsum("ij,ij->i", own[row], unit[col]), 6)
+                    exact = products(own, unit, row, col)
                     at, old, sims = best.get(a, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
                     best[a] = best_of(own_ids, np.concatenate([at, row]), np.concatenate([old, ids[col]]), np.concatenate([sims, exact]))
         yield from result()
 
-    together = queries.select(columns).union(rows.select(columns)).repartition(parts * held, "kind", "part", "held").sortWithinPartitions(*columns[:5])
-    found = together.mapInArrow(scan, "kind string, id long, neighbour long, similarity double")
+    ordered = together.select(columns).repartition(tasks, "kind", "part", "held").sortWithinPartitions(*columns[:5])
+    return ordered.mapInArrow(scan, "kind string, id long, neighbour long, similarity double")
+
+
+def nearest(vectors: DataFrame, asked: Column, s: Settings = Settings()) -> DataFrame:
+    """For the rows of ``vectors`` (kind, id, vector) that meet ``asked``, their k most similar others of the kind:
+    kind, id, neighbour, rank from 0, similarity (6 digits; equal ones go to the smaller id).
+
+    However far the neighbours are: there the windows would hold most vectors, so every vector is verified. Queries and
+    rows meet in blocks; no task holds more than HELD queries, whatever their number. Unusable vectors take no part.
+    """
+    vectors = usable(vectors, s.width).dropDuplicates(["kind", "id"])
+    n, n_asked = vectors.agg(F.count("*"), F.count_if(asked)).first()
+    parts, held = max(1, -(-n // TASK_ROWS)), max(1, -(-n_asked // HELD))
+    spread = lambda of: F.pmod(F.xxhash64("kind", "id"), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    columns = ["kind", "part", "held", "role", "id", "vector"]
+    queries = vectors.filter(asked).withColumn("held", spread(held)).withColumn("part", every(parts)).withColumn("role", F.lit(0))
+    rows = vectors.withColumn("part", spread(parts)).withColumn("held", every(held)).withColumn("role", F.lit(1))
+
+    found = compared(queries.select(columns).union(rows.select(columns)), parts * held, 6, s)
     order = Window.partitionBy("kind", "id").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < s.k)
 
@@ -270,7 +309,7 @@ def candidates(rows: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * pairs.shape[1]), pa.array(pairs[0]), pa.array(pairs[1])], names=["kind", "id_a", "id_b"])
 
         held: list[pa.RecordBatch] = []
-        key, n = None, 0
+        key = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held)
@@ -284,22 +323,50 @@ def candidates(rows: DataFrame, s: Settings) -> DataFrame:
             for start, end in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(batch)]])):
                 if held and key != (kinds[start], tabs[start], cells[start]):
                     yield from flush()
-                    held, n = [], 0
+                    held = []
                 key = (kinds[start], tabs[start], cells[start])
-                for a in range(start, end, s.run // 2):
-                    part = batch.slice(a, min(s.run // 2, end - a))
-                    if n + len(part) > s.run:  # a large cell: runs along its order, each with the end of the one before
-                        yield from flush()
-                        while n > s.run // 2 and len(held) > 1:
-                            n -= len(held.pop(0))
-                    held.append(part)
-                    n += len(part)
+                held.append(batch.slice(start, end - start))
         if held:
             yield from flush()
 
-    order = ["kind", "tab", "cell", "sub", "line"]
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "id")
-    return sorted_rows.mapInArrow(count, "kind string, id_a long, id_b long")
+    order = ["kind", "tab", "cell"]
+    return rows.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(count, "kind string, id_a long, id_b long")
+
+
+CROWD = "kind string, part long, held int, role int, id long, vector array<float>"
+
+
+def crowd_pairs(vectors: DataFrame, way: Routing, full: dict[tuple[str, int, int], tuple[int, int]]) -> DataFrame:
+    """Pairs (kind, id_a, id_b) of the ``full`` cells in which one is at home and the other among its best, every pair being compared."""
+    s, grid, start = way.s, {}, 0
+    for cell, (home, n) in sorted(full.items()):
+        grid[cell] = (start, max(1, -(-n // TASK_ROWS)), max(1, -(-home // HELD)))  # first part, parts of the rows, blocks of the queries
+        start += grid[cell][1]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, rows, _, tab, place, cells in way.placed(batch):
+                salt = (rows.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                for cell in np.unique(cells):
+                    if (kind, tab, cell) not in grid:
+                        continue
+                    first, parts, blocks = grid[kind, tab, cell]
+                    at = np.flatnonzero(cells == cell)
+                    part, block = (salt[at] % np.uint64(parts)).astype(np.int64), (salt[at] % np.uint64(blocks)).astype(np.int32)
+                    groups = [(1, part, np.full(len(at), b, np.int32)) for b in range(blocks)]
+                    groups += [(0, np.full(len(at), p), block) for p in range(parts) if place == 0]
+                    own = rows.take(pa.array(at))
+                    for role, to, held in groups:
+                        yield pa.RecordBatch.from_arrays(
+                            [own.column("kind"), pa.array(first + to), pa.array(held), pa.array(np.full(len(at), role, np.int32)), own.column("id"), own.column("vector")],
+                            names=["kind", "part", "held", "role", "id", "vector"],
+                        )
+
+    tasks = sum(parts * blocks for _, parts, blocks in grid.values())
+    found = compared(vectors.select("kind", "id", "vector").mapInArrow(meet, CROWD), tasks, 12, s)
+    best = F.row_number().over(Window.partitionBy("kind", "id").orderBy(F.desc("similarity"), "neighbour"))
+    kept = found.filter(F.col("similarity") >= s.floor - ROUGH).distinct().withColumn("rank", best).filter(F.col("rank") <= 2 * s.k)
+    return kept.select("kind", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b"))
 
 
 def centres(vectors: DataFrame, sizes: dict[str, int], s: Settings) -> dict[str, np.ndarray]:
@@ -333,9 +400,13 @@ def similar_pairs(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     ``vectors``: kind, id, vector. Unusable vectors take no part, equal similarities go to the smaller id. Repeated ids of
     a kind count once for each vector they come with; rows without id or vector take no part. The approximation can only miss pairs: similarities are exact.
     """
-    vectors, classes, named = folded(usable(vectors, s.width), s)
-    sizes = {r["kind"]: r["count"] for r in vectors.groupBy("kind").count().collect()}  # one row for each kind
-    found = candidates(routed(vectors, sizes, centres(vectors, sizes, s), s), s).filter("id_a < id_b").distinct()
+    vectors, classes, members = folded(usable(vectors, s.width), s)
+    way = routing(vectors, s)
+    full = crowded(vectors, way)
+    found = candidates(routed(vectors, way, set(full)), s)
+    if full:
+        found = found.union(crowd_pairs(vectors, way, full))
+    found = found.filter("id_a < id_b").distinct()
     for side in ("a", "b"):
         own = vectors.select("kind", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "same", "twin", "vector")))
         found = found.join(own, ["kind", f"id_{side}"])
@@ -345,7 +416,7 @@ def similar_pairs(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
             own = classes.select("kind", *(F.col(c).alias(f"{c}_{side}") for c in ("same", "twin", "firsts")))
             ids = F.explode(F.coalesce(f"firsts_{side}", F.array(f"id_{side}")))
             exact = exact.join(own, ["kind", f"same_{side}", f"twin_{side}"], "left").withColumn(f"id_{side}", ids).drop(f"firsts_{side}")
-        copies = named.join(classes, ["kind", "same", "twin"]).select("kind", F.col("id").alias("id_a"), F.explode("firsts").alias("id_b"), cosine(F.col("vector"), F.col("vector")).alias("similarity"))
+        copies = members.select("kind", F.col("id").alias("id_a"), F.explode("firsts").alias("id_b"), cosine(F.col("vector"), F.col("vector")).alias("similarity"))
         exact = exact.select(copies.columns).union(copies.filter("id_a != id_b"))
     exact = exact.select("kind", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity")
     if classes is not None:

@@ -97,3 +97,18 @@ def test_more_copies_than_a_run_holds(spark, clustered):
     first = sorted(ids[sorted(copies)])[:6]
     assert {(min(a, b), max(a, b)) for a in ids[sorted(copies)] for b in [c for c in first if c != a][:5]} == {(a, b) for a, b in touches(got) if of[a] in copies and of[b] in copies}
     assert {p for p in touches(true) if not {of[p[0]], of[p[1]]} <= copies} <= got
+
+
+def test_recall_in_a_dense_cluster(spark, monkeypatch):
+    from marginalia.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "HELD", 150)
+    monkeypatch.setattr(neighbours, "TASK_ROWS", 200)
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    dense = 0.98**0.5 * unit(rng.standard_normal(64)) + 0.02**0.5 * unit(rng.standard_normal((800, 64)))
+    vectors = np.concatenate([unit(rng.standard_normal((1600, 64))), dense])
+    ids = rng.permutation(len(vectors)) + 1
+    got = {(r["id_a"], r["id_b"]) for r in similar_pairs(frame(spark, ids, vectors), Settings(run=200)).collect()}
+    true = brute(ids, vectors.astype(np.float32).astype(float), 5, 0.9)
+    assert len(got & true) >= 0.99 * len(true) and len(got - true) <= 0.01 * len(true)

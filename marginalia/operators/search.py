@@ -34,7 +34,8 @@ def checked_queries(queries: DataFrame) -> list:
 def best_rows(scored: DataFrame, id_name: str, depth: int) -> DataFrame:
     """``scored`` (term, id, score) with ``rank`` from 0, the best ``depth`` of each term."""
     order = Window.partitionBy("term").orderBy(F.desc("score"), id_name)
-    return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < depth)
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth)  # a filter on rank - 1 would not limit tasks
+    return best.withColumn("rank", F.col("rank") - 1)
 
 
 def dense_ranks(vectors: DataFrame, queries: DataFrame, id_name: str, depth: int = DEPTH) -> DataFrame:

@@ -80,3 +80,10 @@ def test_too_many_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "MOST_QUERIES", 1)
     with pytest.raises(ValueError):
         search.checked_queries(spark.createDataFrame([("a", [1.0], 0.0, 1)] * 2, QUERIES))
+
+
+def test_tasks_keep_only_the_best(spark):
+    scored = spark.createDataFrame([("a", i, float(i % 7)) for i in range(50)], "term string, id long, score double")
+    best = search.best_rows(scored, "id", 3)
+    assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+    assert [(r["id"], r["rank"]) for r in best.orderBy("rank").collect()] == [(6, 0), (13, 1), (20, 2)]

@@ -2,7 +2,7 @@
 
 Collision counting: vectors are projected on random lines, each projection is a sorted array, and a query collects the
 vectors inside a window around its own projection. Vectors that fall into enough of a query's windows are verified. The
-windows start narrow and widen (virtual rehashing) until the query has k verified neighbours or the radius is reached.
+windows start narrow and widen (virtual rehashing) until all queries of a cell have k verified neighbours or the radius is reached.
 
 A window on one line holds a fixed share of all vectors, so counting over a whole table takes quadratic work. The table
 is therefore first routed into cells by the pair of lines on which a vector projects highest; a vector is home in its best
@@ -32,7 +32,7 @@ class Settings:
     routings and cells of each that a vector is put into. per_cell: home vectors a cell has on average. run: vectors
     counted against each other at most; in larger cells every pair is compared. lines: projections counted. windows: radii (chord lengths) tried one after the other; a window reaches ``reach`` radii to either side.
     share: part of the lines that a candidate must collide on. slack: by how much a similarity of rounded vectors may
-    be off. sample: rows that the centre is measured on.
+    be off. routed_rows: rows of a counting task on average. sample: rows that the centre is measured on.
     """
 
     width: int = 64
@@ -46,7 +46,8 @@ class Settings:
     windows: tuple[float, ...] = (0.15, 0.45)
     reach: float = 1.3
     share: float = 0.55
-    slack: float = 0.01
+    slack: float = 0.001
+    routed_rows: int = 250_000
     sample: int = 20_000
     seed: int = 7
 
@@ -65,10 +66,24 @@ def unit_rows(column: pa.Array, width: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def binary(rows: np.ndarray) -> pa.Array:
-    """Each row of an int8 matrix as one binary value."""
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+def packed(unit: np.ndarray) -> pa.Array:
+    """Each vector rounded to 12 bits an element, two elements in three bytes, as one binary value; scaled to use all of them."""
+    v = np.rint(unit * (2047 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int16) + 2048
+    if v.shape[1] % 2:
+        v = np.column_stack([v, np.full(len(v), 2048, np.int16)])
+    a, b = v[:, 0::2], v[:, 1::2]
+    out = np.stack([a & 255, (a >> 8) | ((b & 15) << 4), b >> 4], axis=2).astype(np.uint8).reshape(len(v), 3 * a.shape[1])
+    offsets = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(out))])
+
+
+def unpacked(column: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors of a column of ``packed`` values."""
+    size = 3 * -(-width // 2)
+    rows = np.frombuffer(column.buffers()[2], np.uint8)[column.offset * size :][: len(column) * size].reshape(len(column), size // 3, 3).astype(np.int16)
+    a, b = rows[:, :, 0] | ((rows[:, :, 1] & 15) << 8), (rows[:, :, 1] >> 4) | (rows[:, :, 2] << 4)
+    x = (np.stack([a, b], axis=2).reshape(len(column), 2 * size // 3)[:, :width] - 2048).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def best_cells(x: np.ndarray, first: np.ndarray, second: np.ndarray, cells: int) -> np.ndarray:
@@ -107,8 +122,13 @@ class Routing:
 
     side: dict[str, int]
     centre: dict[str, np.ndarray]
+    n: int
     s: Settings
 
+    @property
+    def tasks(self) -> int:
+        return max(1, -(-self.n * self.s.tables * self.s.cells // self.s.routed_rows))
+
     def placed(self, batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, int, int, np.ndarray]]:
         """Of each kind in ``batch`` its rows and unit vectors, and for each table and place from home on the rows' cells."""
         kinds = batch.column("kind").to_numpy(zero_copy_only=False)
@@ -126,7 +146,7 @@ class Routing:
 
 def routing(vectors: DataFrame, s: Settings) -> Routing:
     sizes = {r["kind"]: r["count"] for r in vectors.groupBy("kind").count().collect()}  # one row for each kind
-    return Routing({kind: max(8, round((n / s.per_cell) ** 0.5)) for kind, n in sizes.items()}, centres(vectors, sizes, s), s)
+    return Routing({kind: max(8, round((n / s.per_cell) ** 0.5)) for kind, n in sizes.items()}, centres(vectors, sizes, s), sum(sizes.values()), s)
 
 
 def crowded(vectors: DataFrame, way: Routing) -> dict[tuple[str, int, int], tuple[int, int]]:
@@ -144,68 +164,76 @@ def crowded(vectors: DataFrame, way: Routing) -> dict[tuple[str, int, int], tupl
 
 
 def routed(vectors: DataFrame, way: Routing, full: set[tuple[str, int, int]]) -> DataFrame:
-    """One row for each vector, table and cell outside ``full`` that it is put into; ``q`` is the vector rounded to 8 bits."""
+    """One row for each vector, table and cell outside ``full`` that it is put into; ``q`` is the vector rounded to 12 bits."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, rows, unit, tab, place, cells in way.placed(batch):
                 out = [c for k, t, c in full if (k, t) == (kind, tab)]
                 at = np.flatnonzero(~np.isin(cells, out)) if out else np.arange(len(cells))
-                q = np.rint(unit[at] * (127 / np.abs(unit[at]).max(axis=1, keepdims=True))).astype(np.int8)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * n, pa.string()), pa.array(np.full(n, tab, np.int32)), pa.array(cells[at]), rows.column("id").take(pa.array(at)), pa.array(np.full(n, place == 0)), binary(q)],
+                    [pa.array([kind] * n, pa.string()), pa.array(np.full(n, tab, np.int32)), pa.array(cells[at]), rows.column("id").take(pa.array(at)), pa.array(np.full(n, place == 0)), packed(unit[at])],
                     names=["kind", "tab", "cell", "id", "home", "q"],
                 )
 
     return vectors.select("kind", "id", "vector").mapInArrow(route, ROUTED)
 
 
-def sorted_arrays(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each line (column of ``p``, at most 65,535 rows) the sorted projections, and the place of each row among them."""
-    order = np.argsort(p, axis=0, kind="stable")
-    places = np.empty(p.shape, dtype=np.uint16)
-    np.put_along_axis(places, order, np.broadcast_to(np.arange(len(p), dtype=np.uint16)[:, None], p.shape), axis=0)
-    return np.take_along_axis(p, order, axis=0), places
+#: Window members listed at once.
+MEMBERS = 2_000_000
 
 
-def collisions(p: np.ndarray, arrays: np.ndarray, places: np.ndarray, home: np.ndarray, half: float) -> np.ndarray:
-    """How many lines have column j inside the window of half-width ``half`` around home row i."""
-    counts = np.zeros((len(home), len(p)), dtype=np.uint8)
-    for line, array, place in zip(p.T, arrays.T, places.T):
-        low = np.searchsorted(array, line[home] - half, side="left").astype(np.uint16)
-        high = np.searchsorted(array, line[home] + half, side="right").astype(np.uint16)
-        counts += (place - low[:, None]) < (high - low)[:, None]  # places below the window wrap around and are large
-    return counts
+def colliding(p: np.ndarray, order: np.ndarray, home: np.ndarray, half: float, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (home row, row) whose projections (rows of ``p``, a column for each line) are within ``half`` on ``need`` lines at least.
 
-
-def similar_in_cell(q: np.ndarray, home: np.ndarray, lines: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of one cell in which one is home and one is among the best of the other."""
+    ``order`` has the rows of each line's sorted array. The members of every window are listed from it and counted.
+    """
+    n, lines = p.shape
+    low, high = (np.empty((lines, len(home)), dtype=np.int64) for _ in range(2))
+    for i in range(lines):
+        array = p[order[:, i], i]
+        low[i] = np.searchsorted(array, p[home, i] - half, side="left")
+        high[i] = np.searchsorted(array, p[home, i] + half, side="right")
+    members, firsts, seconds = order.T.ravel(), [], []
+    step = max(1, int(MEMBERS * len(home) // max(1, (high - low).sum())))
+    for a in range(0, len(home), step):
+        begins, sizes = low[:, a : a + step], (high - low)[:, a : a + step]
+        rows = np.broadcast_to(np.arange(sizes.shape[1]) * n, sizes.shape).ravel()
+        begins, sizes = (begins + np.arange(lines)[:, None] * n).ravel(), sizes.ravel()
+        places = np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+        counts = np.bincount(np.repeat(rows, sizes) + members[places])
+        found = np.flatnonzero(counts >= need)
+        firsts.append(home[a + found // n])
+        seconds.append(found % n)
+    return np.concatenate(firsts), np.concatenate(seconds)
+
+
+def similar_in_cell(x: np.ndarray, home: np.ndarray, lines: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rounded unit vectors of one cell in which one is home and one may be among the best of the other: no
+    neighbour is left out that rounding might have put behind the k-th."""
     at_home = np.flatnonzero(home)
-    if not len(at_home) or len(q) < 2:
+    if not len(at_home) or len(x) < 2:
         return np.zeros(0, int), np.zeros(0, int)
-    x = q.astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
     p, need = x @ lines, int(np.ceil(s.share * lines.shape[1]))
-    arrays, places = sorted_arrays(p)
-    done, a, b, sims = np.zeros(len(q), bool), np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    order = np.argsort(p, axis=0, kind="stable")
+    a, b, sims = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     for radius in s.windows:
-        row, b = np.nonzero(collisions(p, arrays, places, at_home, radius * s.reach) >= need)
-        a = at_home[row]
+        a, b = colliding(p, order, at_home, radius * s.reach, need)
         keep = (a != b) & ~(home[b] & (b < a))
         a, b = a[keep], b[keep]
         sims = np.einsum("ij,ij->i", x[a], x[b])
         keep = sims >= s.floor - s.slack
         a, b, sims = a[keep], b[keep], sims[keep]
         near = sims >= 1 - radius**2 / 2
-        done = np.bincount(np.concatenate([a[near], b[near]]), minlength=len(q)) >= s.k
-        if done.all():
+        if (np.bincount(np.concatenate([a[near], b[near]]), minlength=len(x)) >= s.k).all():
             break
     query, other, sims = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sims, sims])
-    order = np.lexsort((-sims, query))
-    query, other = query[order], other[order]
+    ranked = np.lexsort((-sims, query))
+    query, other, sims = query[ranked], other[ranked], sims[ranked]
     starts = np.searchsorted(query, query, side="left")
-    best = np.arange(len(query)) - starts < 2 * s.k  # rounding may swap neighbours; the exact ranking follows
+    last = np.minimum(starts + s.k - 1, np.searchsorted(query, query, side="right") - 1)
+    best = sims >= sims[last] - 2 * s.slack
     return query[best], other[best]
 
 
@@ -296,13 +324,13 @@ def nearest(vectors: DataFrame, asked: Column, s: Settings = Settings()) -> Data
     return found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < s.k)
 
 
-def candidates(rows: DataFrame, s: Settings) -> DataFrame:
+def candidates(rows: DataFrame, tasks: int, s: Settings) -> DataFrame:
     """Pairs (kind, id_a, id_b) that a cell found, from ``routed`` rows; pairs found in several cells repeat."""
     lines = np.random.default_rng([s.seed, 99]).standard_normal((s.width, s.lines)).astype(np.float32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(kind: str, ids: np.ndarray, home: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-            i, j = similar_in_cell(q, home, lines, s)
+        def found(kind: str, ids: np.ndarray, home: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            i, j = similar_in_cell(x, home, lines, s)
             pairs = np.stack([ids[i], ids[j]])
             pairs = np.unique(np.sort(pairs, axis=0), axis=1)
             if pairs.shape[1]:
@@ -313,8 +341,8 @@ def candidates(rows: DataFrame, s: Settings) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held)
-            buffer = np.concatenate([np.frombuffer(b.column("q").buffers()[2], np.int8)[b.column("q").offset * s.width :][: len(b) * s.width] for b in held])
-            yield from found(key[0], *(whole.column(c).to_numpy() for c in ("id", "home")), buffer.reshape(-1, s.width))
+            x = np.concatenate([unpacked(b.column("q"), s.width) for b in held])
+            yield from found(key[0], *(whole.column(c).to_numpy() for c in ("id", "home")), x)
 
         for batch in batches:
             kinds = batch.column("kind").to_numpy(zero_copy_only=False)
@@ -330,7 +358,7 @@ def candidates(rows: DataFrame, s: Settings) -> DataFrame:
             yield from flush()
 
     order = ["kind", "tab", "cell"]
-    return rows.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(count, "kind string, id_a long, id_b long")
+    return rows.repartition(tasks, *order).sortWithinPartitions(*order, "id").mapInArrow(count, "kind string, id_a long, id_b long")
 
 
 CROWD = "kind string, part long, held int, role int, id long, vector array<float>"
@@ -398,12 +426,13 @@ def similar_pairs(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Pairs (kind, id_a, id_b, similarity), id_a < id_b, of at least ``s.floor``, in which one is among the other's best k.
 
     ``vectors``: kind, id, vector. Unusable vectors take no part, equal similarities go to the smaller id. Repeated ids of
-    a kind count once for each vector they come with; rows without id or vector take no part. The approximation can only miss pairs: similarities are exact.
+    a kind count once for each vector they come with; rows without id or vector take no part. Similarities are exact; a neighbour that
+    the approximation misses may let the next one take its place.
     """
     vectors, classes, members = folded(usable(vectors, s.width), s)
     way = routing(vectors, s)
     full = crowded(vectors, way)
-    found = candidates(routed(vectors, way, set(full)), s)
+    found = candidates(routed(vectors, way, set(full)), way.tasks, s)
     if full:
         found = found.union(crowd_pairs(vectors, way, full))
     found = found.filter("id_a < id_b").distinct()

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from marginalia.llm.neighbours import Settings, collisions, similar_pairs, sorted_arrays
+from marginalia.llm.neighbours import Settings, colliding, packed, similar_pairs, unpacked
 
 
 def brute(ids, vectors, k, floor):
@@ -21,6 +21,24 @@ def clustered():
     return np.array(rows)
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def exact_best(ids, vectors, k, floor):
+    """As ``brute``, a block at a time."""
+    rows, out = unit(vectors.astype(np.float32).astype(float)), set()
+    for start in range(0, len(rows), 1000):
+        sims = rows[start : start + 1000] @ rows.T
+        sims[np.arange(len(sims)), start + np.arange(len(sims))] = -1
+        for i, row in enumerate(sims):
+            top = np.argpartition(-row, k)[: k + 1]
+            for j in top[np.argsort(-row[top])][:k]:
+                if row[j] >= floor:
+                    out.add((min(ids[start + i], ids[j]), max(ids[start + i], ids[j])))
+    return out
+
+
 def frame(spark, ids, vectors):
     return spark.createDataFrame([("v", int(i), [float(x) for x in v]) for i, v in zip(ids, vectors)], "kind string, id long, vector array<float>")
 
@@ -53,9 +71,26 @@ def test_runs_of_a_crowded_cell(spark, clustered):
     assert len(got & true) >= 0.9 * len(true)
 
 
-def test_windows_count_lines():
-    p = np.array([[0.0, 0.0], [0.1, 5.0], [3.0, 0.05]])
-    assert collisions(p, *sorted_arrays(p), np.array([0, 1]), 0.2).tolist() == [[2, 1, 1], [1, 2, 0]]
+def test_windows_count_lines(monkeypatch):
+    from marginalia.llm import neighbours
+
+    rng = np.random.default_rng(1)
+    p = rng.standard_normal((50, 6))
+    home = np.flatnonzero(rng.random(50) < 0.5)
+    for members in (10, 10**6):
+        monkeypatch.setattr(neighbours, "MEMBERS", members)
+        a, b = colliding(p, np.argsort(p, axis=0), home, 0.4, 3)
+        true = {(i, j) for i in home for j in range(50) if (np.abs(p[i] - p[j]) <= 0.4).sum() >= 3}
+        assert set(zip(a.tolist(), b.tolist())) == true
+
+
+def test_rounding_stays_within_the_slack():
+    rng = np.random.default_rng(2)
+    for width in (64, 7):
+        rows = rng.standard_normal((400, width)) * np.exp(rng.standard_normal((400, width)))
+        unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+        back = unpacked(packed(unit).slice(3), width)
+        assert np.abs(back @ back.T - unit[3:] @ unit[3:].T).max() < Settings().slack
 
 
 def test_empty_table(spark):
@@ -112,3 +147,25 @@ def test_recall_in_a_dense_cluster(spark, monkeypatch):
     got = {(r["id_a"], r["id_b"]) for r in similar_pairs(frame(spark, ids, vectors), Settings(run=200)).collect()}
     true = brute(ids, vectors.astype(np.float32).astype(float), 5, 0.9)
     assert len(got & true) >= 0.99 * len(true) and len(got - true) <= 0.01 * len(true)
+
+
+def test_groups_of_near_copies_at_default_settings(spark):
+    rng = np.random.default_rng(11)
+    centres = unit(rng.standard_normal((150, 64)))
+    vectors = np.concatenate([unit(c + 0.02 * rng.standard_normal((60, 64))) for c in centres])
+    ids = rng.permutation(len(vectors)) + 1
+    got = {(r["id_a"], r["id_b"]) for r in similar_pairs(frame(spark, ids, vectors)).collect()}
+    true = exact_best(ids, vectors, 5, 0.9)
+    assert len(got & true) >= 0.999 * len(true) and len(got - true) <= 0.001 * len(true)
+
+
+def test_a_clump_of_most_vectors_at_default_settings(spark):
+    """Neighbours that are hardly nearer than the rest of the clump are the hardest case: all of it is above the floor."""
+    rng = np.random.default_rng(12)
+    clump = unit(unit(rng.standard_normal(64)) + 0.03 * rng.standard_normal((3000, 64)))
+    vectors = np.concatenate([clump, unit(rng.standard_normal((1000, 64)))])
+    ids = rng.permutation(len(vectors)) + 1
+    got = {(r["id_a"], r["id_b"]) for r in similar_pairs(frame(spark, ids, vectors)).collect()}
+    true = exact_best(ids, vectors, 5, 0.9)
+    print("recall", len(got & true) / len(true), "wrong", len(got - true) / len(got))
+    assert len(got & true) >= 0.9 * len(true)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
+from marginalia.operators.search import with_texts
 from marginalia.operators.summarize import Chat, answered
+from marginalia.tables import settle
 
 #: Score below which an answer's sources are weak, sources and question characters allowed, excerpt of a source.
 CONFIDENT, MOST_SOURCES, QUESTION_CHARS, EXCERPT_CHARS = 0.020, 8, 4000, 2400
@@ -76,7 +78,7 @@ def contexts(hits: DataFrame, chunks: DataFrame, k: int = MOST_SOURCES) -> DataF
     At most ``k`` (1 to 8) sources, numbered from 1: title, summary if there is one, and the clipped chunk without its title.
     """
     k = min(max(k, 1), MOST_SOURCES)
-    shown = hits.filter(F.col("rank") < k).join(chunks.select("chunk_id", "text"), "chunk_id", "left")
+    shown = with_texts(settle(hits.filter(F.col("rank") < k)), chunks)
     body = text.clipped(text.trimmed(text.without_title(F.col("text"), F.col("title"))), EXCERPT_CHARS)
     part = F.concat(
         F.lit("["), (F.col("rank") + 1).cast("string"), F.lit("] "), F.coalesce("title", F.lit("")),
@@ -120,7 +122,7 @@ def highlights(hits: DataFrame, chunks: DataFrame, pages: DataFrame, chat: Chat)
     ``hits``: term, note_id, chunk_id, title; ``chunks``: chunk_id, text; ``pages``: note_id, content. A page that isn't
     there is replaced by the chunk; a query that is too long gives an empty highlight, a model that fails the chunk's first line.
     """
-    found = hits.join(chunks.select("chunk_id", "text"), "chunk_id").join(pages.select("note_id", "content"), "note_id", "left")
+    found = with_texts(settle(hits), chunks).filter("text is not null").join(pages.select("note_id", "content"), "note_id", "left")
     body = text.without_title(F.col("text"), F.col("title"))
     page = text.clipped(F.coalesce("content", body), HIGHLIGHT_PAGE)
     short = F.length("term") <= HIGHLIGHT_QUERY

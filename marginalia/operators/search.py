@@ -19,8 +19,10 @@ from marginalia.functions.embedding import Embedder, embedded
 
 #: Constant of the rank fusion, rows of a ranked list, results of a search, digits that scores are compared by.
 FUSION_K, DEPTH, RESULTS, DIGITS = 60.0, 200, 10, 6
-#: Queries held by every task at most.
-MOST_QUERIES = 10_000
+#: Queries held by every task at most, and those that are multiplied with a block of rows at once.
+MOST_QUERIES, QUERY_BLOCK = 10_000, 256
+#: Ids of hits that every task holds at most when their texts are fetched; more are joined by a shuffle.
+HELD_HITS = 500_000
 
 
 def checked_queries(queries: DataFrame) -> list:
@@ -31,6 +33,13 @@ def checked_queries(queries: DataFrame) -> list:
     return rows
 
 
+def small(queries: DataFrame) -> DataFrame:
+    """``queries`` for a broadcast; it is an error if they aren't a small set."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries at once")
+    return F.broadcast(queries)
+
+
 def best_rows(scored: DataFrame, id_name: str, depth: int) -> DataFrame:
     """``scored`` (term, id, score) with ``rank`` from 0, the best ``depth`` of each term."""
     order = Window.partitionBy("term").orderBy(F.desc("score"), id_name)
@@ -41,36 +50,46 @@ def best_rows(scored: DataFrame, id_name: str, depth: int) -> DataFrame:
 def dense_ranks(vectors: DataFrame, queries: DataFrame, id_name: str, depth: int = DEPTH) -> DataFrame:
     """Best ``depth`` of ``vectors`` (id_name, vector) for each query by dot product: term, id, score, rank.
 
-    Vectors of another width than the queries', with null or not finite elements take no part, nor do queries without a
-    usable vector. Scores are rounded before they are compared.
+    A query meets the vectors of its own width. Vectors and queries with null or not finite elements, or none, take no part.
+    Scores are rounded before they are compared.
     """
-    asked = [(r["term"], r["query_vec"]) for r in checked_queries(queries) if r["term"] is not None and r["query_vec"]]
-    asked = [(t, np.asarray(v, dtype=np.float64)) for t, v in asked if all(x is not None and np.isfinite(x) for x in v)]
+    asked: dict[int, list[tuple[str, np.ndarray]]] = {}
+    for r in checked_queries(queries):
+        if r["term"] is not None and r["query_vec"] and all(x is not None and np.isfinite(x) for x in r["query_vec"]):
+            asked.setdefault(len(r["query_vec"]), []).append((r["term"], np.asarray(r["query_vec"], dtype=np.float64)))
     schema = f"term string, {id_name} long, score double"
-    if not asked:
-        return best_rows(vectors.sparkSession.createDataFrame([], schema), id_name, depth)
-    width = len(asked[0][1])
-    terms, matrix = [t for t, v in asked if len(v) == width], np.array([v for _, v in asked if len(v) == width])
+    found = vectors.sparkSession.createDataFrame([], schema)
+    for width, own in sorted(asked.items()):  # one width as a rule
+        usable = vectors.filter(vector.is_usable(F.col("vector"), width)).select(F.col(id_name).cast("long"), "vector")
+        found = found.union(usable.mapInArrow(block_scan([t for t, _ in own], np.array([v for _, v in own]), id_name, depth), schema))
+    return best_rows(found, id_name, depth)
+
+
+def block_scan(terms: list[str], matrix: np.ndarray, id_name: str, depth: int):
+    """A function over Arrow batches (id, vector) that keeps the best ``depth`` rows of each query (row of ``matrix``)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_ids, best = np.zeros((len(terms), 0), np.int64), np.zeros((len(terms), 0))
+        starts = range(0, len(terms), QUERY_BLOCK)
+        kept = {a: (np.zeros((len(matrix[a : a + QUERY_BLOCK]), 0), np.int64), np.zeros((len(matrix[a : a + QUERY_BLOCK]), 0))) for a in starts}
         for batch in batches:
-            block = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-            ids = np.concatenate([best_ids, np.tile(batch.column(0).to_numpy(), (len(terms), 1))], axis=1)
-            scores = np.concatenate([best, np.round(matrix @ block.T, DIGITS)], axis=1)
-            order = np.lexsort((ids, -scores), axis=1)[:, :depth]
-            best_ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-        if best.size:
-            names = np.repeat(np.arange(len(terms)), best.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([terms[i] for i in names]), pa.array(best_ids.ravel()), pa.array(best.ravel())], names=["term", id_name, "score"])
+            block = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+            for a in starts:
+                best_ids, best = kept[a]
+                ids = np.concatenate([best_ids, np.tile(batch.column(0).to_numpy(), (len(best), 1))], axis=1)
+                scores = np.concatenate([best, np.round(matrix[a : a + QUERY_BLOCK] @ block.T, DIGITS)], axis=1)
+                order = np.lexsort((ids, -scores), axis=1)[:, :depth]
+                kept[a] = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+        for a, (best_ids, best) in kept.items():
+            if best.size:
+                names = [t for t in terms[a : a + QUERY_BLOCK] for _ in range(best.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(best_ids.ravel()), pa.array(best.ravel())], names=["term", id_name, "score"])
 
-    usable = vectors.filter(vector.is_usable(F.col("vector"), width)).select(F.col(id_name).cast("long"), "vector")
-    return best_rows(usable.mapInArrow(scan, schema), id_name, depth)
+    return scan
 
 
 def gated(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     """Rows of ``ranked`` that reach their query's least score; ranks stay, as the list is sorted by score."""
-    least = F.broadcast(queries.select("term", "min_score"))  # a stated, small set
+    least = small(queries.select("term", "min_score"))
     return ranked.join(least, "term").filter(F.col("score") >= F.col("min_score")).drop("min_score")
 
 
@@ -87,7 +106,7 @@ def lexical_ranks(chunks: DataFrame, queries: DataFrame, depth: int = DEPTH) ->
     """
     asked = queries.filter(text.is_searchable(F.col("term"))).select("term", F.lower("term").alias("phrase"))
     low = chunks.filter("text is not null").select("chunk_id", F.lower("text").alias("low"), F.length("text").alias("chars"))
-    found = low.join(F.broadcast(asked), F.contains("low", "phrase"))  # every query against all rows, a block at a time
+    found = low.join(small(asked), F.contains("low", "phrase"))  # a stated set of queries against all rows, a block at a time
     scored = found.select("term", "chunk_id", lexical_score(F.col("low"), F.col("chars"), F.col("phrase")).alias("score"))
     return best_rows(scored, "chunk_id", depth)
 
@@ -148,7 +167,7 @@ def hybrid_search(notes: DataFrame, chunks: DataFrame, queries: DataFrame, depth
     lists = rank_all(notes, chunks, queries, depth)
     scored = note_scores(best_chunks(fused([lists.dense, lists.lexical], "chunk_id"), chunks), lists.summary)
     order = Window.partitionBy("term").orderBy(F.desc("score"), "note_id")
-    wanted = F.broadcast(queries.select("term", F.coalesce("top_n", F.lit(RESULTS)).alias("top_n")))
+    wanted = small(queries.select("term", F.coalesce("top_n", F.lit(RESULTS)).alias("top_n")))
     best = scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < MOST_RESULTS).join(wanted, "term").filter("rank < top_n")
     label = F.when(F.col("summary_status") == 4, "ok").when(F.col("summary_status") == 5, "failed").otherwise("pending")
     details = notes.select("note_id", F.col("page_title").alias("title"), "rel_path", "summary", label.alias("summary_status"))
@@ -159,21 +178,34 @@ def hybrid_search(notes: DataFrame, chunks: DataFrame, queries: DataFrame, depth
 MOST_RESULTS = 3 * DEPTH
 
 
+def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``hits`` with the ``text`` of their chunk, null without one. Only the texts of hits are moved: the chunks are read against the
+    hits' ids, held by every task while there are at most HELD_HITS. ``hits`` are read twice, so they should be settled."""
+    ids = hits.select("chunk_id").filter("chunk_id >= 0").distinct()
+    few = ids.limit(HELD_HITS + 1).count() <= HELD_HITS
+    texts = chunks.select("chunk_id", "text").join(F.broadcast(ids) if few else ids, "chunk_id")
+    return hits.join(texts, "chunk_id", "left")
+
+
 def anchored(hits: DataFrame, chunks: DataFrame, excerpt: int = 500) -> DataFrame:
     """``hits`` with the excerpt they are shown with: the chunk without its title, or the summary's first line."""
-    anchor = chunks.select("chunk_id", F.col("text").alias("chunk_text"))
-    body = text.shortened(text.trimmed(text.without_title(F.col("chunk_text"), F.col("title"))), excerpt)
-    first = F.coalesce(F.try_element_at(text.lines(F.col("summary")), F.lit(1)), F.lit(""))
-    return hits.join(anchor, "chunk_id", "left").withColumn("excerpt", F.coalesce(body, first)).drop("chunk_text")
+    body = text.shortened(text.trimmed(text.without_title(F.col("text"), F.col("title"))), excerpt)
+    return with_texts(hits, chunks).withColumn("excerpt", F.coalesce(body, first_line(F.col("summary")))).drop("text")
+
+
+def first_line(c: Column) -> Column:
+    return F.coalesce(F.try_element_at(text.lines(c), F.lit(1)), F.lit(""))
 
 
 def snippets(hits: DataFrame, chunks: DataFrame, embed: Embedder, excerpt: int = 500) -> DataFrame:
-    """Of each hit's chunk the unit that is most like the query: term, chunk_id, unit, score, snippet.
+    """``hits`` with ``unit``, ``unit_score`` and ``snippet``: the unit of the hit's chunk that is most like the query, or the chunk's first
+    line of content where it has no unit, or the first line of the summary where there is no chunk.
 
     Units are top bullets, or the sections of a chunk without bullets, or its whole body; stubs, blanks and bare headings
-    are left out. The first of equal units wins. ``embed`` turns units and terms into vectors.
+    are left out. The first of equal units wins. ``embed`` turns units and terms into vectors. ``hits``: a row for each term and note.
     """
-    found = hits.filter("chunk_id >= 0").join(chunks.select("chunk_id", "text"), "chunk_id")
+    read = with_texts(hits, chunks)
+    found = read.filter("text is not null")
     body = text.without_title(F.col("text"), F.col("title"))
 
     def parts(body: Column) -> Column:
@@ -181,9 +213,11 @@ def snippets(hits: DataFrame, chunks: DataFrame, embed: Embedder, excerpt: int =
         return text.let(bullets, lambda b: F.when(F.size(b) > 0, b).otherwise(F.split(body, r"(?m)(?=^\s*#+[ \t])", -1)))
 
     units = F.filter(text.let(body, parts), lambda u: (text.trimmed(u) != "") & ~text.is_heading_only(u))
-    every = found.select("term", "title", "chunk_id", F.posexplode(units).alias("unit", "display"))
+    every = found.select("term", "title", "note_id", F.posexplode(units).alias("unit", "display"))
     shown = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), "display")
     scored = every.withColumn("score", F.round(vector.dot(embedded(shown, embed), embedded(F.col("term"), embed)), DIGITS))
-    order = Window.partitionBy("term", "chunk_id").orderBy(F.desc("score"), "unit")
-    best = scored.withColumn("n", F.row_number().over(order)).filter("n = 1")
-    return best.select("term", "chunk_id", "unit", "score", text.shortened(F.col("display"), excerpt).alias("snippet"))
+    best = scored.groupBy("term", "note_id").agg(F.min_by(F.struct("unit", "score", "display"), F.struct(-F.col("score"), "unit")).alias("best"))
+    of_chunk = F.coalesce("best.display", text.first_content_line(F.col("text"), F.col("title")))
+    shown = F.when(F.col("text").isNotNull(), of_chunk).otherwise(first_line(F.col("summary")))
+    joined = read.join(best, ["term", "note_id"], "left").withColumn("snippet", text.shortened(shown, excerpt))
+    return joined.select(*hits.columns, F.col("best.unit").alias("unit"), F.col("best.score").alias("unit_score"), "snippet")

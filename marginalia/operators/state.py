@@ -18,13 +18,16 @@ ATTEMPTS = 3
 
 
 
-def latest_scan(scans: DataFrame) -> DataFrame:
-    """Newest version of each path of ``scans`` (rel_path, mtime, content, scanned_at), by mtime, whenever it was scanned.
-
-    Rows without content are unreadable files and count as not scanned; exact duplicates are one row.
-    """
+def newest_scan(scans: DataFrame) -> DataFrame:
+    """Newest version of each path of ``scans`` (rel_path, mtime, content, scanned_at): the highest mtime, among equal ones the last
+    scanned, then the larger content. Rows without path or content count as not scanned; exact duplicates are one row."""
     rows = scans.filter("content is not null and rel_path is not null")
-    return rows.groupBy("rel_path").agg(F.max(F.struct("mtime", "scanned_at", "content")).alias("s")).select("rel_path", "s.mtime", "s.content")
+    return rows.groupBy("rel_path").agg(F.max(F.struct("mtime", "scanned_at", "content")).alias("s")).select("rel_path", "s.mtime", "s.scanned_at", "s.content")
+
+
+def latest_scan(scans: DataFrame) -> DataFrame:
+    """``newest_scan`` without the time of the scan: rel_path, mtime, content."""
+    return newest_scan(scans).drop("scanned_at")
 
 
 def scan_changes(notes: DataFrame, scans: DataFrame, version: int = CHUNKER) -> DataFrame:
@@ -76,12 +79,13 @@ def removed(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def replaced_chunks(chunks: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
-    """``chunks`` with those of the ``changed`` notes (note_id) replaced by ``fresh`` ones (note_id, ord, text), with new ids and no vector yet."""
+def replaced_chunks(chunks: DataFrame, changed: DataFrame, fresh: DataFrame, expected: int = 1_000_000) -> DataFrame:
+    """``chunks`` with those of the ``changed`` notes (note_id) replaced by ``fresh`` ones (note_id, ord, text), with ids that go on from
+    the largest and no vector yet. ``expected``: new chunks that are likely, for the number of tasks that number them."""
     kept = removed(chunks, changed, "note_id")
     start = chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
-    # ids need not be dense: each note's rows get a stretch of their own behind the largest id
-    numbered = fresh.withColumn("chunk_id", F.col("note_id") * (1 << 20) + F.col("ord") + start + 1)
+    ranked = rank_within(fresh.withColumn("_all", F.lit(0)), "_all", ["note_id", "ord"], expected)
+    numbered = ranked.withColumn("chunk_id", F.col("rank").cast("long") + start + 1)
     return kept.unionByName(numbered.select("chunk_id", "note_id", "ord", "text", F.lit(None).cast("array<float>").alias("embedding")))
 
 
@@ -127,6 +131,11 @@ def only_where(condition: Column, changes: dict[str, Column]) -> dict[str, Colum
     return {name: F.when(met, value).otherwise(F.col(name)) for name, value in changes.items()}
 
 
+def claimed() -> dict[str, Column]:
+    """A note whose summary is being made, so that nobody else takes it."""
+    return {"summary_status": F.lit(RUNNING)}
+
+
 def lacks_vector() -> Column:
     """Finished summaries that were saved without a vector."""
     return (F.col("summary_status") == OK) & F.col("summary").isNotNull() & F.col("summary_embedding").isNull()

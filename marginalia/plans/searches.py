@@ -10,7 +10,7 @@ from marginalia.functions.embedding import hashed_words
 from marginalia.functions.vector import is_usable
 from marginalia.operators import search
 from marginalia.plans.scalars import sql_encoded
-from marginalia.tables import table
+from marginalia.tables import settle, table
 
 WIDTH = 64
 
@@ -68,18 +68,19 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def search_excerpts(spark: SparkSession, folder: str) -> DataFrame:
     notes, chunks, queries = tables(spark, folder)
-    return search.anchored(search.hybrid_search(notes, chunks, queries), chunks).select("term", "rank", "note_id", "chunk_id", "excerpt")
+    return search.anchored(settle(search.hybrid_search(notes, chunks, queries)), chunks).select("term", "rank", "note_id", "chunk_id", "excerpt")
 
 
 def search_snippets(spark: SparkSession, folder: str) -> DataFrame:
     notes, chunks, queries = tables(spark, folder)
-    return search.snippets(search.hybrid_search(notes, chunks, queries), chunks, hashed_words(WIDTH))
+    found = search.snippets(settle(search.hybrid_search(notes, chunks, queries)), chunks, hashed_words(WIDTH))
+    return found.select("term", "rank", "note_id", "chunk_id", "unit", "unit_score", "snippet")
 
 
 def ranking_eval(spark: SparkSession, folder: str) -> DataFrame:
     """Of each query, the notes whose title holds the term: how many there are, the best rank of one, and whether it is within top_n."""
     notes, _, queries = tables(spark, folder)
-    expected = notes.select(F.lower("page_title").alias("low"), "note_id").join(F.broadcast(queries.select("term", "top_n")), F.contains("low", F.lower("term")))
+    expected = notes.select(F.lower("page_title").alias("low"), "note_id").join(search.small(queries.select("term", "top_n")), F.contains("low", F.lower("term")))
     hits = hybrid_search(spark, folder).select("term", "note_id", "rank")
     graded = expected.join(hits, ["term", "note_id"], "left").groupBy("term").agg(F.count("*").alias("expected"), F.min("rank").alias("best_rank"))
     grade = F.when(F.col("best_rank") == 0, "pass").when(F.col("best_rank").isNotNull(), "warn").otherwise("fail")

@@ -18,7 +18,7 @@ def stream_scans(spark: SparkSession, folder: str) -> DataFrame:
     """Newest version of every path, kept up by a stream."""
     root = scratch(spark, "scans")
     feeds.follow_scans(feeds.feed(spark, f"{folder}/raw_notes.parquet"), root, f"{root}-checkpoint")
-    return snapshots.current(spark, root)
+    return snapshots.current(spark, root).drop("scanned_at")
 
 
 def stream_daily_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The ``vault`` data source: the notes of a folder, as ``spark.read.format("vault")``.
 
 Options: path; dialect (``prose``: every folder except hidden ones and ``trash``; ``outline``: only ``pages`` and
-``journals``); files (of a task, 200 by default). Built-in file sources hide names that begin with ``_`` or ``.``, which
+``journals``). Built-in file sources hide names that begin with ``_`` or ``.``, which
 are notes here.
 """
 
@@ -19,40 +19,42 @@ SCHEMA = "rel_path string, mtime bigint, content string, error string"
 OUTLINE_FOLDERS, TRASH = ("pages", "journals"), "trash"
 
 
-def walk(root: str, dialect: str) -> Iterator[str]:
-    """Relative paths of a vault's notes: regular files named ``*.md``, without links."""
-    tops = [os.path.join(root, d) for d in OUTLINE_FOLDERS] if dialect == "outline" else [root]
-    for top in tops:
-        for folder, below, names in os.walk(top):
-            if dialect == "prose":
-                below[:] = [d for d in below if not d.startswith(".") and d != TRASH]
-            below[:] = sorted(d for d in below if not os.path.islink(os.path.join(folder, d)))
-            for name in sorted(names):
-                path = os.path.join(folder, name)
-                if name.endswith(".md") and name != ".md" and os.path.isfile(path) and not os.path.islink(path):
-                    yield os.path.relpath(path, root).replace(os.sep, "/")
+def folders(folder: str, dialect: str) -> list[str]:
+    """Folders right below one that belong to the vault, without links."""
+    found = sorted(e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)) if os.path.isdir(folder) else []
+    return [f for f in found if dialect == "outline" or not os.path.basename(f).startswith(".") and os.path.basename(f) != TRASH]
 
 
-class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+def walk(top: str, root: str, dialect: str, deep: bool = True) -> Iterator[str]:
+    """Paths, relative to ``root``, of the notes in the folder ``top`` and, if ``deep``, below it: regular files named ``*.md``, without links."""
+    if os.path.isdir(top):
+        for entry in sorted(os.scandir(top), key=lambda e: e.name):
+            if entry.name.endswith(".md") and entry.name != ".md" and entry.is_file(follow_symlinks=False):
+                yield os.path.relpath(entry.path, root).replace(os.sep, "/")
+    for below in folders(top, dialect) if deep else ():
+        yield from walk(below, root, dialect)
+
+
+class Folder(InputPartition):
+    def __init__(self, path: str, deep: bool):
+        self.path, self.deep = path, deep
 
 
 class VaultReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.dialect = options.get("path", ""), options.get("dialect", "prose")
-        self.files = int(options.get("files", "200"))
         if self.dialect not in ("prose", "outline"):
             raise ValueError("dialect must be prose or outline")
 
     def partitions(self) -> list[InputPartition]:
-        """Names only; the tasks read the files."""
-        paths = list(walk(self.root, self.dialect))
-        return [Files(paths[i : i + self.files]) for i in range(0, len(paths), self.files)] or [Files([])]
+        """Two levels of folders only; the tasks list and read what is in and below them. The folder is one that all executors see."""
+        tops = [os.path.join(self.root, d) for d in OUTLINE_FOLDERS] if self.dialect == "outline" else [self.root]
+        middle = [f for top in tops for f in folders(top, self.dialect)]
+        return [*(Folder(f, False) for f in tops + middle), *(Folder(f, True) for m in middle for f in folders(m, self.dialect))]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Folder) -> Iterator[tuple]:
         """A row for each note; one that can't be read has an error and no content."""
-        for path in partition.paths:
+        for path in walk(partition.path, self.root, self.dialect, partition.deep):
             full = os.path.join(self.root, path)
             try:
                 mtime = int(os.stat(full).st_mtime)

@@ -20,11 +20,9 @@ def feed(spark: SparkSession, path: str, files_at_once: int = 20) -> DataFrame:
 
 
 def merge_scans(known: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Newest version of each path after ``batch``; the same in whatever order and however often batches come."""
-    newest = state.latest_scan(batch)
-    if known is None:
-        return newest
-    return known.unionByName(newest).groupBy("rel_path").agg(F.max(F.struct("mtime", "content")).alias("s")).select("rel_path", "s.*")
+    """``state.newest_scan`` of all batches up to this one; the same in whatever order and however often they come."""
+    newest = state.newest_scan(batch)
+    return newest if known is None else state.newest_scan(known.unionByName(newest))
 
 
 def follow_scans(scans: DataFrame, root: str, checkpoint: str) -> None:
@@ -39,7 +37,8 @@ def follow_scans(scans: DataFrame, root: str, checkpoint: str) -> None:
 def daily_events(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Events of each kind and day they were sent on, exact duplicates once; events later than ``lateness`` are left out."""
     timed = events.withColumn("sent_at", F.col("sent_at").cast("timestamp")).filter("sent_at is not null")
-    once = timed.withWatermark("sent_at", lateness).dropDuplicates(["ask_id", "seq", "event", "data", "sent_at", "received_at"])
+    marked = timed.withColumn("mark", F.xxhash64("ask_id", "seq", "event", "data", "received_at"))  # the state keeps no data
+    once = marked.withWatermark("sent_at", lateness).dropDuplicates(["mark", "sent_at", "event"])
     return once.groupBy(F.window("sent_at", "1 day").alias("day"), "event").agg(F.count("*").alias("events")).select(F.col("day.start").cast("timestamp_ntz").alias("day"), "event", "events")
 
 

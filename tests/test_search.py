@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.functions.embedding import hashed_words
 from marginalia.operators import search
@@ -66,8 +67,42 @@ def test_summary_only_hits_and_excerpts(spark, tables):
 
 def test_snippets(tables):
     notes, chunks, queries = tables
-    got = search.snippets(search.hybrid_search(notes, chunks, queries), chunks, hashed_words(32)).collect()
-    assert got and all(r["snippet"].startswith("- ") or r["chunk_id"] >= 900 for r in got)
+    hits = search.hybrid_search(notes, chunks, queries)
+    got = search.snippets(hits, chunks, hashed_words(32)).collect()
+    assert len(got) == hits.count() and all(r["snippet"].startswith("- ") or not 0 <= r["chunk_id"] < 900 for r in got)
+    assert all(r["snippet"] == ("Sum" if r["summary"] else "") for r in got if r["chunk_id"] < 0)
+
+
+def test_texts_of_all_chunks_aren_t_shuffled(tables):
+    from marginalia.tables import settle
+
+    notes, chunks, queries = tables
+    read = search.with_texts(settle(search.hybrid_search(notes, chunks, queries)), chunks)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    scan = plan.index("text#")
+    assert "BroadcastHashJoin" in plan[:scan] or "BroadcastHashJoin" in plan
+    assert read.filter("chunk_id = 901").count() == hits_of(notes, chunks, queries, 901)
+
+
+def hits_of(notes, chunks, queries, chunk):
+    return search.hybrid_search(notes, chunks, queries).filter(F.col("chunk_id") == chunk).count()
+
+
+def test_queries_of_another_width_take_nothing_away(spark, tables):
+    _, chunks, queries = tables
+    vectors = chunks.selectExpr("chunk_id", "embedding AS vector")
+    plain = set(map(tuple, search.dense_ranks(vectors, queries, "chunk_id").collect()))
+    odd = spark.createDataFrame([("narrow", [1.0] * 7, 0.0, 3), ("wide", [1.0] * 9, 0.0, 3)], QUERIES)
+    got = set(map(tuple, search.dense_ranks(vectors, odd.union(queries), "chunk_id").collect()))
+    assert plain <= got and {r[0] for r in got - plain} == {"narrow"}
+
+
+def test_many_queries_in_blocks(tables, monkeypatch):
+    _, chunks, queries = tables
+    vectors = chunks.selectExpr("chunk_id", "embedding AS vector")
+    plain = sorted(map(tuple, search.dense_ranks(vectors, queries, "chunk_id", 9).collect()))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 1)
+    assert sorted(map(tuple, search.dense_ranks(vectors, queries, "chunk_id", 9).collect())) == plain
 
 
 def test_empty_tables(tables):

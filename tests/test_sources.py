@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import vector
 from marginalia.functions.embedding import embedded, hashed_words
-from marginalia.operators import summarize
+from marginalia.operators import state, summarize
 from marginalia.sources import snapshots, vault
 from marginalia.streaming import feeds
 
@@ -24,7 +24,7 @@ def folder(tmp_path):
 
 def test_vault_source(spark, folder):
     vault.register(spark)
-    rows = {r["rel_path"]: r for r in spark.read.format("vault").option("path", str(folder)).option("files", 2).load().collect()}
+    rows = {r["rel_path"]: r for r in spark.read.format("vault").option("path", str(folder)).load().collect()}
     assert set(rows) == {"a.md", ".hid.md", "_under.md", "sub/b.md", "pages/p.md", "journals/2024_01_01.md", "bad.md"}
     assert rows["a.md"]["content"] == "a.md" and rows["a.md"]["mtime"] > 0 and rows["bad.md"]["content"] is None and rows["bad.md"]["error"]
     outline = spark.read.format("vault").option("path", str(folder)).option("dialect", "outline").load()
@@ -52,7 +52,21 @@ def test_scan_stream_keeps_the_newest(spark, tmp_path):
     feeds.follow_scans(feeds.feed(spark, feed, 1), root, f"{tmp_path}/c")
     spark.createDataFrame([("a", 1, "old, late", at), ("c", 1, None, at), ("c", 0, "c", at)], schema).coalesce(1).write.mode("append").parquet(feed)
     feeds.follow_scans(feeds.feed(spark, feed, 1), root, f"{tmp_path}/c")
-    assert {tuple(r) for r in snapshots.current(spark, root).collect()} == {("a", 2, "new"), ("b", 1, "b"), ("c", 0, "c")}
+    assert {(r["rel_path"], r["mtime"], r["content"]) for r in snapshots.current(spark, root).collect()} == {("a", 2, "new"), ("b", 1, "b"), ("c", 0, "c")}
+
+
+def test_scan_stream_of_many_files_equals_the_latest_scan(spark, tmp_path):
+    """Equal mtimes in different batches: the later scan wins, whatever its content and the order of the files."""
+    schema = "rel_path string, mtime long, content string, scanned_at timestamp_ntz"
+    day = lambda n: d.datetime(2024, 1, n)
+    feed, root = f"{tmp_path}/feed", f"{tmp_path}/state"
+    for rows in ([("a", 1, "zzz old scan", day(1))], [("a", 1, "aaa newer scan", day(3)), ("b", 1, "x", day(2))], [("a", 1, "mmm between", day(2)), ("b", 2, "w", day(1))], [("c", 1, "y", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+    feeds.follow_scans(feeds.feed(spark, feed, 1), root, f"{tmp_path}/c")
+    expected = state.latest_scan(spark.read.parquet(feed)).collect()
+    assert {(r["rel_path"], r["mtime"], r["content"]) for r in snapshots.current(spark, root).collect()} == set(map(tuple, expected))
+    assert ("a", 1, "aaa newer scan") in set(map(tuple, expected))
+    assert len(snapshots.versions(spark, root)) == snapshots.KEPT
 
 
 def test_vectors(spark):

@@ -85,10 +85,54 @@ def contexts(hits: DataFrame, chunks: DataFrame, k: int = MOST_SOURCES) -> DataF
         F.coalesce(F.concat(F.lit("\nSummary: "), "summary"), F.lit("")), F.coalesce(F.concat(F.lit("\nExcerpt: "), body), F.lit("")),
     )
     grouped = shown.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))).alias("parts"), F.max("score").alias("top"))
-    confidence = F.when(F.col("top") < CONFIDENT, "low").otherwise("ok")
+    confidence = F.when(F.col("top") < CONFIDENT, "low").otherwise("high")
     return grouped.select("term", F.size("parts").alias("sources"), F.array_join(F.col("parts.part"), "\n\n").alias("context"), confidence.alias("confidence"))
 
 
+#: What a model is told before the question; the second where the sources are weak.
+ANSWER_RULES = (
+    "Answer the question from the numbered sources only, in the language of the question, as prose that brings the sources together. "
+    "Put the numbers of the sources in square brackets behind what they support, such as [1] or [2][3], at most three for a claim. "
+    "If the sources don't hold the answer, say so in one sentence and stop."
+)
+WEAK_RULES = (
+    "The numbered sources may have little to do with the question. Say in one to three sentences, in the language of the question, what they are "
+    "about, so that the reader can decide whether to open one; cite them as [1] or [2][3]. Don't answer beyond them. If none is related, say so in one sentence."
+)
+
+
+def ask_prompt(question: Column, context: Column, confidence: Column) -> Column:
+    """What a model is asked: rules (weaker ones for low confidence), question and sources."""
+    rules = F.when(confidence == "low", WEAK_RULES).otherwise(ANSWER_RULES)
+    return F.concat(rules, F.lit("\n\nQuestion: "), question, F.lit("\n\nSources:\n\n"), F.coalesce(context, F.lit("")))
+
+
+def asked(contexts: DataFrame, chat: Chat) -> DataFrame:
+    """``contexts`` (term, sources, context, confidence) with what ``chat`` answers: error, answer, cited, invalid, answered.
+
+    A question that can't be asked has an error and no answer, and so has one that the model fails on. cited: numbers in the answer
+    that are sources, invalid: those that aren't; an answer counts if it cites a source.
+    """
+    checked = valid_questions(contexts.withColumn("question", F.col("term"))).drop("question")
+    prompt = F.when(F.col("error").isNull(), ask_prompt(text.trimmed(F.col("term")), F.col("context"), F.col("confidence")))
+    told = checked.withColumn("answer", text.without_thinking(answered(prompt, chat)))
+    numbers = F.when(F.coalesce("sources", F.lit(0)) > 0, F.sequence(F.lit(1), F.col("sources"))).otherwise(F.array().cast("array<int>"))
+    named = F.coalesce(markers(F.col("answer")), F.array().cast("array<int>"))
+    out = told.withColumn("error", F.coalesce("error", F.when(F.col("answer").isNull(), "no answer")))
+    return out.withColumn("cited", F.array_intersect(named, numbers)).withColumn("invalid", F.array_except(named, numbers)).withColumn("answered", F.size("cited") > 0)
+
+
+def answer_events(told: DataFrame) -> DataFrame:
+    """The event stream of each row of ``asked``: term, seq, event, data. A meta, the answer's lines as deltas, and done; or a single error."""
+    json = lambda **fields: F.to_json(F.struct(*(c.alias(name) for name, c in fields.items())))
+    event = lambda name, data: F.struct(F.lit(name).alias("event"), data.alias("data"))
+    deltas = F.transform(F.split("answer", r"(?<=\n)", -1), lambda part: event("delta", json(text=part)))
+    opened = event("meta", json(question=F.col("term"), sources=F.col("sources"), confidence=F.col("confidence")))
+    closed = event("done", json(answered=F.col("answered"), cited=F.col("cited")))
+    stream = F.when(F.col("error").isNotNull(), F.array(event("error", json(message=F.col("error"))))).otherwise(F.concat(F.array(opened), deltas, F.array(closed)))
+    return told.select("term", F.posexplode(stream).alias("seq", "e")).select("term", "seq", "e.event", "e.data")
+
+
 def valid_questions(questions: DataFrame) -> DataFrame:
     """``questions`` (question) with ``error``: empty, too long, or null if it can be asked."""
     plain = text.trimmed(F.col("question"))

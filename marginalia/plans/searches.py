@@ -9,7 +9,7 @@ from marginalia.functions import uri
 from marginalia.functions.embedding import hashed_words
 from marginalia.functions.vector import is_usable
 from marginalia.operators import search
-from marginalia.plans.scalars import sql_encoded
+from marginalia.plans.scalars import TITLE_SQL, sql_encoded  # noqa: F401
 from marginalia.tables import settle, table
 
 WIDTH = 64

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from marginalia.functions import text
 from marginalia.functions.vector import is_usable
 from marginalia.functions.embedding import hashed_words
-from marginalia.operators import answers, chunking, state, summarize
-from marginalia.plans import searches
+from marginalia.operators import answers, chunking, rescan, state, summarize
+from marginalia.plans import note_sql, searches
 from marginalia.plans.scalars import EMBEDDED, TOP_SQL, sql_lines, sql_trimmed
 from marginalia.tables import table
 
@@ -76,7 +76,7 @@ def replace_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The chunk table after a scan: reindexed notes' chunks come from their new content."""
     notes, chunks = notes_of(spark, folder), table(spark, folder, "chunks")
     changed = state.scan_changes(notes, table(spark, folder, "raw_notes")).filter("change = 'reindex'").select("rel_path", "note_id")
-    fresh = chunking.chunk(titled(spark, folder)).join(changed, "rel_path").select("note_id", "ord", "text")
+    fresh = chunking.chunk(titled(spark, folder).join(changed, "rel_path", "left_semi")).join(changed, "rel_path").select("note_id", "ord", "text")
     return state.replaced_chunks(chunks, changed, fresh).select("chunk_id", "note_id", "ord", F.length("text").alias("chars"))
 
 
@@ -328,7 +328,7 @@ SQL |= {
     "ask_context": f"""
 SELECT term, count(*)::INTEGER AS sources, string_agg('[' || (rank + 1) || '] ' || coalesce(title, '') || coalesce(chr(10) || 'Summary: ' || summary, '')
     || coalesce(chr(10) || 'Excerpt: ' || CASE WHEN length({TRIMMED}) > 2400 THEN left({TRIMMED}, 2400) || chr(10) || '…[truncated]' ELSE {TRIMMED} END, ''), chr(10) || chr(10) ORDER BY rank) AS context,
-  CASE WHEN max(score) < 0.02 THEN 'low' ELSE 'ok' END AS confidence FROM {EXCERPTS} WHERE rank < 8 GROUP BY term""",
+  CASE WHEN max(score) < 0.02 THEN 'low' ELSE 'high' END AS confidence FROM {EXCERPTS} WHERE rank < 8 GROUP BY term""",
     "embed_batches": f"""
 WITH RECURSIVE sized AS (
   SELECT note_id, ord, chunk_id, coalesce({EMBEDDED} + (length(text) - {EMBEDDED}) // 4, 0)::BIGINT AS tokens, row_number() OVER (PARTITION BY note_id ORDER BY ord, chunk_id) AS n FROM chunks),
@@ -339,3 +339,95 @@ packed AS (
   FROM (SELECT p.note_id, p.n, p.batch, p.held, p.total FROM packed p) p JOIN sized s ON s.note_id = p.note_id AND s.n = p.n + 1, LATERAL (SELECT p.total + s.tokens > 7000 OR p.held >= 32 AS full_) f)
 SELECT note_id, ord, chunk_id, tokens, batch FROM packed""",
 }
+
+
+def claim_next(spark: SparkSession, folder: str) -> DataFrame:
+    """The notes after the next 16 were claimed for summarizing."""
+    notes = notes_of(spark, folder)
+    chosen = state.candidates(notes, 16).select("note_id", F.lit(True).alias("chosen"))
+    return shown(notes.join(F.broadcast(chosen), "note_id", "left").withColumns(state.only_where(F.col("chosen"), state.claimed())))
+
+
+def rescanned(spark: SparkSession, folder: str) -> rescan.Rescan:
+    notes, chunks = notes_of(spark, folder), table(spark, folder, "chunks")
+    return rescan.rescan(notes, chunks, table(spark, folder, "raw_notes"), F.col("rel_path").rlike("^(pages|journals)/"))
+
+
+def rescan_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """The notes after a scan of the whole vault: what it didn't find is gone."""
+    return shown(rescanned(spark, folder).notes)
+
+
+def rescan_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks that a scan of the whole vault leaves as they are."""
+    after = rescanned(spark, folder)
+    old = after.changes.filter("change in ('touch', 'unchanged')").select("note_id")
+    return after.chunks.join(old, "note_id", "left_semi").select("chunk_id", "note_id", "ord", "text")
+
+
+def cites_first(prompts: list[str]) -> list[str | None]:
+    """A stand-in for a model: cites the first source and one that isn't there."""
+    return ["See [1], not [9]." for _ in prompts]
+
+
+def ask_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each stored query asked: what was found, what a stand-in for a model said to it, and what that cites."""
+    told = answers.asked(ask_context(spark, folder), cites_first)
+    return told.select("term", "sources", "confidence", "error", "answer", *(F.array_join(F.col(x).cast("array<string>"), ",").alias(x) for x in ("cited", "invalid")), "answered")
+
+
+def ask_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The event streams of those answers."""
+    return answers.answer_events(answers.asked(ask_context(spark, folder), cites_first)).select("term", "seq", "event", F.get_json_object("data", "$.text").alias("text"))
+
+
+def broken_streams(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded answers whose events break the protocol once their first event is lost."""
+    events = table(spark, folder, "ask_events")
+    firsts = events.groupBy("ask_id").agg(F.min("seq").alias("first"))
+    return answers.protocol_breaks(events.join(firsts, "ask_id").filter("seq > first").drop("first"))
+
+
+QUERIES |= {f.__name__: f for f in (claim_next, rescan_notes, rescan_chunks, ask_answers, ask_events, broken_streams)}
+RESCANNED = f"(SELECT * FROM ({CHANGES}) WHERE rel_path NOT IN (SELECT rel_path FROM raw_notes GROUP BY rel_path HAVING count(content) = 0))"
+CODES = "string_agg(CASE event WHEN 'meta' THEN 'm' WHEN 'delta' THEN 't' WHEN 'done' THEN 'd' WHEN 'error' THEN 'e' ELSE '?' END, '' ORDER BY seq)"
+SQL |= {
+    "claim_next": state_sql("note_id IN (SELECT note_id FROM notes WHERE summary_status IN (0, 1, 2) AND summary_attempts < 3 ORDER BY summary_status = 2 DESC, note_id LIMIT 16)", summary_status="3"),
+    "rescan_notes": state_sql(
+        "change = 'reindex'", f"(SELECT n.* EXCLUDE (mtime), CASE WHEN change IN ('reindex', 'touch') THEN c.mtime ELSE n.mtime END AS mtime, change FROM notes n LEFT JOIN {RESCANNED} c USING (rel_path) WHERE change IS DISTINCT FROM 'missing')",
+        chunker_version="6", **OVER,
+    ),
+    "rescan_chunks": f"SELECT chunk_id, note_id, ord, text FROM chunks WHERE note_id IN (SELECT note_id FROM {RESCANNED} WHERE change IN ('touch', 'unchanged'))",
+    "ask_answers": f"SELECT term, sources, confidence, NULL::VARCHAR AS error, 'See [1], not [9].' AS answer, '1' AS cited, '9' AS invalid, true AS answered FROM ({SQL['ask_context']})",
+    "ask_events": f"SELECT term, unnest([0, 1, 2])::INTEGER AS seq, unnest(['meta', 'delta', 'done']) AS event, unnest([NULL, 'See [1], not [9].', NULL]) AS text FROM ({SQL['ask_context']})",
+    "broken_streams": f"SELECT * FROM (SELECT ask_id, {CODES} AS events FROM (SELECT DISTINCT * FROM ask_events) e JOIN (SELECT ask_id, min(seq) AS first FROM ask_events GROUP BY ask_id) f USING (ask_id) WHERE seq > first GROUP BY ask_id) WHERE NOT regexp_matches(events, '^(mt*d|mt*e|e)$')",
+    "linked_answers": """
+SELECT ask_id, list_reduce(list_prepend(escaped, list_transform(known, lambda x: '[' || x || ']')), lambda html, m: replace(html, m, '<a href="#source-' || m[2:-2] || '">' || m || '</a>')) AS html
+FROM (SELECT ask_id, known, replace(replace(replace(replace(replace(answer, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped FROM (""" + CHECKED + "))",
+}
+
+
+def insert_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """The notes after a scan that finds those of the pages folder for the first time."""
+    known = notes_of(spark, folder).filter(~F.col("rel_path").startswith("pages/"))
+    return shown(state.upserted(known, state.scan_changes(known, table(spark, folder, "raw_notes")))).drop("note_id")
+
+
+QUERIES |= {"insert_notes": insert_notes}
+CHUNKS = note_sql.chunks_sql(LATEST)
+SCANNED = note_sql.outlined(f"({LATEST})")
+ONLY_NEW = f"""
+SELECT * EXCLUDE (note_id) FROM ({SQL["upsert_notes"]}) WHERE NOT starts_with(rel_path, 'pages/')
+UNION ALL
+SELECT rel_path, {searches.TITLE_SQL}, mtime, 6, NULL, 1, 0, false FROM (SELECT *, regexp_extract(rel_path, '([^/]*)$', 1) AS name FROM ({LATEST})) WHERE starts_with(rel_path, 'pages/')"""
+SQL |= {
+    "insert_notes": ONLY_NEW,
+    "chunk_notes": CHUNKS,
+    "chunk_coverage": f"SELECT rel_path, count(*) AS chunks, max(length(text) // 4)::BIGINT AS most_tokens FROM ({CHUNKS}) GROUP BY rel_path",
+    "scrub_summaries": f"""
+SELECT note_id, CASE WHEN chars < {text.SUMMARY_CHARS} THEN 'purge' WHEN coalesce({JUNK} IN ({', '.join(chr(39) + j + chr(39) for j in text.JUNK_SUMMARIES)}), false) THEN 'requeue' ELSE 'keep' END AS action
+FROM (SELECT * FROM notes WHERE summary IS NOT NULL OR summary_embedding IS NOT NULL) JOIN (SELECT rel_path, {note_sql.narrative()} AS chars FROM {SCANNED}) USING (rel_path)""",
+    "debug_dump": f"""
+SELECT rel_path, '=== read' || chr(10) || content || chr(10) || '=== left' || chr(10) || CASE WHEN {note_sql.IS_OUTLINE} THEN plain ELSE {note_sql.SHARED_SQL} END || chr(10) || '=== chunks' || chr(10) || coalesce(chunks, '') AS dump
+FROM {SCANNED} LEFT JOIN (SELECT rel_path, string_agg(text, chr(10) || '---' || chr(10) ORDER BY ord) AS chunks FROM ({CHUNKS}) GROUP BY rel_path) USING (rel_path)""",
+}

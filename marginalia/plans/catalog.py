@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import searches, states, streams
+from marginalia.plans import note_sql, searches, states, streams
 from marginalia.plans.scalars import SCALARS
 
 
@@ -18,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, scalar in SCALARS.items() if (sql := scalar.oracle())} | searches.SQL | states.SQL | streams.SQL
+    return {name: sql for name, scalar in SCALARS.items() if (sql := scalar.oracle())} | note_sql.SQL | searches.SQL | states.SQL | streams.SQL

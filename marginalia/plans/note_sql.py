@@ -37,7 +37,7 @@ SELECT src.*, CASE WHEN content IS NOT NULL THEN coalesce(plain, '') END AS plai
 FROM src LEFT JOIN plains USING (id) LEFT JOIN kept USING (id))"""
 
 
-def narrative(of: str = "") -> str:
+def narrative() -> str:
     """Code points of the prose of a row of ``outlined``."""
     return f"length(CASE WHEN {IS_OUTLINE} THEN {sql_plain('bullets')} ELSE {sql_plain(SHARED_SQL)} END)::INTEGER"
 
@@ -119,3 +119,45 @@ WITH notes_read AS MATERIALIZED (SELECT * FROM {outlined(f"(SELECT * FROM ({late
       FROM sections LEFT JOIN section_parts USING (rel_path, section) LEFT JOIN heads USING (rel_path, section) GROUP BY rel_path)))
 SELECT rel_path, (generate_subscripts(bodies, 1) - 1)::INTEGER AS ord, '# ' || title || {NL} || {NL} || unnest(bodies) AS text
 FROM (SELECT * FROM outline_bodies UNION ALL SELECT * FROM short UNION ALL SELECT * FROM long_bodies) JOIN titles USING (rel_path)"""
+
+
+def snippets_sql(hits: str, digits: int, width: int, shown: int) -> str:
+    """For ``hits`` (term, rank, note_id, title, chunk_id, summary, text, body): term, rank, note_id, chunk_id, unit, unit_score, snippet."""
+    bullet = f"({TOP_SQL})"
+    words = lambda c: f"regexp_extract_all(lower({c}), '[\\pL\\pN]+')"
+    cell = f"('0x' || left(md5(word), 8))::BIGINT % {width}"
+    return f"""
+WITH hits AS MATERIALIZED ({hits}),
+  raw_lines AS (SELECT term, note_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT term, note_id, string_split(body, {NL}) AS l FROM hits WHERE text IS NOT NULL)),
+  bullet_lines AS (SELECT *, sum({bullet}::INT) OVER (PARTITION BY term, note_id ORDER BY pos) AS piece FROM ({lines_of('(SELECT * FROM hits WHERE text IS NOT NULL)', 'body', 'term, note_id')})),
+  bullets AS (SELECT term, note_id, piece, string_agg(line, {NL} ORDER BY pos) AS display FROM bullet_lines WHERE piece > 0 GROUP BY ALL HAVING NOT bool_and({sql_trimmed('line')} IN ('', '-', '*'))),
+  headed AS (SELECT *, {HEADING} AS heads, {sql_trimmed('line')} = '' AS blank FROM raw_lines),
+  ahead AS (SELECT *, arg_min(CASE WHEN NOT blank THEN heads END, CASE WHEN NOT blank THEN pos END) OVER (PARTITION BY term, note_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_heads,
+    max(pos) OVER (PARTITION BY term, note_id) AS final FROM headed),
+  section_lines AS (SELECT *, sum((heads OR blank AND coalesce(next_heads, false))::INT) OVER (PARTITION BY term, note_id ORDER BY pos) AS piece FROM ahead),
+  sections AS (SELECT term, note_id, piece, string_agg(line || CASE WHEN pos < final THEN {NL} ELSE '' END, '' ORDER BY pos) AS display
+    FROM section_lines WHERE (term, note_id) NOT IN (SELECT (term, note_id) FROM bullets) GROUP BY ALL),
+  pieces AS (SELECT * FROM (SELECT * FROM bullets UNION ALL SELECT * FROM sections) WHERE {sql_trimmed('display')} <> ''),
+  filled AS (SELECT term, note_id, piece, count(*) = 1 AND bool_and({HEADING}) AS only_heading FROM ({lines_of('pieces', 'display', 'term, note_id, piece')}) WHERE {sql_trimmed('line')} <> '' GROUP BY ALL),
+  units AS (SELECT *, (row_number() OVER (PARTITION BY term, note_id ORDER BY piece) - 1)::INTEGER AS unit FROM pieces JOIN filled USING (term, note_id, piece) WHERE NOT only_heading),
+  unit_cells AS (SELECT term, note_id, unit, {cell} AS cell, count(*) AS n FROM (SELECT term, note_id, unit, unnest({words("'# ' || coalesce(title, '') || chr(10) || chr(10) || display")}) AS word FROM units JOIN (SELECT term, note_id, title FROM hits) USING (term, note_id)) GROUP BY ALL),
+  term_cells AS (SELECT term, {cell} AS cell, count(*) AS n FROM (SELECT DISTINCT term, unnest(list_transform({words('term')}, lambda w, i: {{'w': w, 'i': i}})) AS e FROM hits), LATERAL (SELECT e.w AS word) GROUP BY ALL),
+  lengths AS (SELECT term, note_id, unit, sqrt(sum(n * n)) AS length FROM unit_cells GROUP BY ALL),
+  term_lengths AS (SELECT term, sqrt(sum(n * n)) AS term_length FROM term_cells GROUP BY ALL),
+  products AS (SELECT term, note_id, unit, sum(u.n * t.n) AS product FROM unit_cells u JOIN term_cells t USING (term, cell) GROUP BY ALL),
+  scored AS (SELECT term, note_id, unit, display, round(coalesce(product / (length * term_length), 0), {digits}) AS score
+    FROM units LEFT JOIN products USING (term, note_id, unit) LEFT JOIN lengths USING (term, note_id, unit) LEFT JOIN term_lengths USING (term)),
+  best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY term, note_id ORDER BY score DESC, unit) = 1),
+  first_lines AS (SELECT term, note_id, arg_min(line, pos) AS first_line FROM ({lines_of('(SELECT * FROM hits WHERE text IS NOT NULL)', 'text', 'term, note_id, title')})
+    WHERE {sql_trimmed('line')} <> '' AND {sql_trimmed('line')} IS DISTINCT FROM '# ' || title GROUP BY ALL)
+SELECT term, rank, note_id, chunk_id, unit, score AS unit_score, CASE WHEN length(shown) > {shown} THEN left(shown, {shown}) || '…' ELSE shown END AS snippet
+FROM (SELECT h.* EXCLUDE (score), unit, b.score, CASE WHEN text IS NOT NULL THEN coalesce(display, first_line, '') ELSE coalesce(({sql_lines('summary')})[1], '') END AS shown
+  FROM hits h LEFT JOIN (SELECT term, note_id, unit, score, display FROM best) b USING (term, note_id) LEFT JOIN first_lines USING (term, note_id))"""
+
+
+#: The scalar functions of whole notes, over every version in the scan feed.
+SQL = {
+    "preprocess_outline": f"SELECT rel_path, mtime, plain AS result FROM {outlined('raw_notes')}",
+    "narrative_chars": f"SELECT rel_path, mtime, {narrative()} AS result FROM {outlined('raw_notes')}",
+    "is_summarizable": f"SELECT rel_path, mtime, {narrative()} >= {text.SUMMARY_CHARS} AS result FROM {outlined('raw_notes')}",
+}

@@ -100,6 +100,13 @@ class Scalar:
 
 
 c = F.col
+
+
+def in_outline() -> Column:
+    """Whether a note's folder is one of an outline."""
+    return c("rel_path").rlike("^(pages|journals)/")
+
+
 RAW, NOTE, CHUNK = ("rel_path", "mtime"), ("note_id",), ("chunk_id",)
 #: Code points of an excerpt.
 EXCERPT = 160
@@ -116,16 +123,10 @@ SCALARS: dict[str, Scalar] = {
     "strip_properties": Scalar("raw_notes", RAW, lambda: text.replaced(c("content"), text.PROPERTY), sql_replaced("content", text.PROPERTY)),
     "strip_task_times": Scalar("raw_notes", RAW, lambda: text.without_task_times(c("content")), sql_replaced("content", text.TASK_TIMES, "$1\n")),
     "preprocess_prose": Scalar("raw_notes", RAW, lambda: text.prose_text(c("content")), SHARED_SQL),
-    "preprocess_outline": Scalar(
-        "raw_notes", RAW, lambda: text.outline_text(c("content")),
-        f"CASE WHEN content IS NOT NULL THEN coalesce(list_aggregate(list_transform({sql_lines('plain')}, lambda x: x || chr(10)), 'string_agg', ''), '') END",
-        sql_source=f"(SELECT *, {OUTLINE_SQL} AS plain FROM raw_notes WHERE content IS NULL OR NOT regexp_matches(content, '(?i)(?m)^[-*]\\s*journal template\\s*$'))",
-    ),
+    "preprocess_outline": Scalar("raw_notes", RAW, lambda: text.outline_text(c("content")), None),
     "plain_text": Scalar("raw_notes", RAW, lambda: text.plain_text(c("content")), sql_plain("content")),
-    "narrative_chars": Scalar("raw_notes", RAW, lambda: text.narrative_chars(c("content"), F.lit(False)), f"length({sql_plain(SHARED_SQL)})::INTEGER"),
-    "is_summarizable": Scalar(
-        "raw_notes", RAW, lambda: text.narrative_chars(c("content"), F.lit(False)) >= text.SUMMARY_CHARS, f"length({sql_plain(SHARED_SQL)}) >= {text.SUMMARY_CHARS}"
-    ),
+    "narrative_chars": Scalar("raw_notes", RAW, lambda: text.narrative_chars(c("content"), in_outline()), None),
+    "is_summarizable": Scalar("raw_notes", RAW, lambda: text.narrative_chars(c("content"), in_outline()) >= text.SUMMARY_CHARS, None),
     "is_junk_summary": Scalar(
         "notes", NOTE, lambda: text.is_junk_summary(c("summary")),
         "lower(" + sql_replaced("summary", r"\A[\"'().:*\-\s]+|[\"'().:*\-\s]+\z") + f") IN ({', '.join(map(quoted, text.JUNK_SUMMARIES))})",

@@ -77,7 +77,10 @@ def replace_chunks(spark: SparkSession, folder: str) -> DataFrame:
     notes, chunks = notes_of(spark, folder), table(spark, folder, "chunks")
     changed = state.scan_changes(notes, table(spark, folder, "raw_notes")).filter("change = 'reindex'").select("rel_path", "note_id")
     fresh = chunking.chunk(titled(spark, folder).join(changed, "rel_path", "left_semi")).join(changed, "rel_path").select("note_id", "ord", "text")
-    return state.replaced_chunks(chunks, changed, fresh).select("chunk_id", "note_id", "ord", F.length("text").alias("chars"))
+    after = state.replaced_chunks(chunks, changed, fresh)
+    return after.join(F.broadcast(chunks.agg(F.max("chunk_id").alias("last"))), how="cross").select(
+        F.when(F.col("chunk_id") <= F.col("last"), F.col("chunk_id")).alias("chunk_id"), "note_id", "ord", "text"
+    )
 
 
 def list_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,8 +248,8 @@ def first_sentence(prompts: list[str]) -> list[str | None]:
 def summarize_scans(spark: SparkSession, folder: str) -> DataFrame:
     """Outcome of summarizing each note's newest scan with a stand-in for a model."""
     pages = titled(spark, folder).withColumn("note_id", F.xxhash64("rel_path"))
-    out = summarize.summarized(pages, first_sentence, hashed_words(64))
-    return out.select("note_id", "outcome", "summary", F.size("vector").alias("width"))
+    out = summarize.summarized(pages, first_sentence, hashed_words(64)).join(pages.select("note_id", "rel_path"), "note_id")
+    return out.select("rel_path", "outcome", "summary", F.size("vector").alias("width"))
 
 
 def stream_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -431,3 +434,24 @@ FROM (SELECT * FROM notes WHERE summary IS NOT NULL OR summary_embedding IS NOT
 SELECT rel_path, '=== read' || chr(10) || content || chr(10) || '=== left' || chr(10) || CASE WHEN {note_sql.IS_OUTLINE} THEN plain ELSE {note_sql.SHARED_SQL} END || chr(10) || '=== chunks' || chr(10) || coalesce(chunks, '') AS dump
 FROM {SCANNED} LEFT JOIN (SELECT rel_path, string_agg(text, chr(10) || '---' || chr(10) ORDER BY ord) AS chunks FROM ({CHUNKS}) GROUP BY rel_path) USING (rel_path)""",
 }
+
+
+HIT_TEXTS = f"SELECT h.*, text, CASE WHEN starts_with(text, '# ' || title || chr(10) || chr(10)) THEN substr(text, length(title) + 5) ELSE text END AS body FROM ({searches.SQL['hybrid_search']}) h LEFT JOIN (SELECT chunk_id, text FROM chunks) USING (chunk_id)"
+MARKS = "' ' || chr(9) || '-*>#'"
+PAGE = f"CASE WHEN {note_sql.IS_OUTLINE} THEN plain ELSE {note_sql.SHARED_SQL} END"
+LONGEST = sql_trimmed(f"list_reduce(string_split(left(page, {answers.HIGHLIGHT_PAGE}), chr(10)), lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END)")
+SQL |= {
+    "search_snippets": note_sql.snippets_sql(HIT_TEXTS, 6, searches.WIDTH, 500),
+    "summarize_scans": f"""
+SELECT rel_path, CASE WHEN chars < {text.SUMMARY_CHARS} THEN 'skipped' WHEN answer IS NULL OR {JUNK.replace('summary', 'answer')} IN ({', '.join(chr(39) + j + chr(39) for j in text.JUNK_SUMMARIES)}) THEN 'failed' ELSE 'ok' END AS outcome,
+  CASE WHEN outcome = 'ok' THEN answer END AS summary, CASE WHEN outcome = 'ok' THEN 64 END AS width
+FROM (SELECT rel_path, {note_sql.narrative()} AS chars, {sql_trimmed(f"list_filter(list_transform(string_split({PAGE}, chr(10)), lambda r: trim(r, {MARKS})), lambda r: r <> '')[1]")} AS answer FROM {SCANNED})""",
+    "replace_chunks": f"""
+SELECT chunk_id, note_id, ord, text FROM chunks WHERE note_id NOT IN (SELECT note_id FROM ({CHANGES}) WHERE change = 'reindex')
+UNION ALL
+SELECT NULL, note_id, ord, text FROM ({CHUNKS}) JOIN (SELECT rel_path, note_id FROM ({CHANGES}) WHERE change = 'reindex') USING (rel_path)""",
+    "search_highlights": f"""
+SELECT term, note_id, chunk_id, coalesce(nullif({LONGEST}, ''), first, '') AS highlight FROM (
+  SELECT term, h.note_id, h.chunk_id, coalesce(content, body) AS page, ({sql_lines('text')}) AS l, list_filter(l, lambda x: {sql_trimmed('x')} <> '' AND {sql_trimmed('x')} IS DISTINCT FROM '# ' || title)[1] AS first
+  FROM ({HIT_TEXTS}) h LEFT JOIN (SELECT note_id, content FROM ({LATEST}) JOIN (SELECT note_id, rel_path FROM notes) USING (rel_path)) p ON h.note_id = p.note_id WHERE rank < 3 AND text IS NOT NULL)""",
+}

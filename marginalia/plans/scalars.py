@@ -152,14 +152,6 @@ SCALARS: dict[str, Scalar] = {
     ),
     "content_hash": Scalar("raw_notes", RAW, lambda: F.sha2(c("content"), 256), "sha256(content)"),
     "page_title_from_path": Scalar("notes", NOTE, lambda: text.page_title(c("rel_path")), TITLE_SQL, sql_source=NAMED),
-    "walk_prose": Scalar(
-        "notes", ("note_id", "rel_path"), lambda: c("mtime"), "mtime", out="mtime",
-        where="rel_path LIKE '%_.md' AND NOT concat('/', rel_path) LIKE '%/.%/%' AND NOT concat('/', rel_path) LIKE '%/trash/%'",
-    ),
-    "walk_outline": Scalar(
-        "notes", ("note_id", "rel_path"), lambda: c("mtime"), "mtime", out="mtime",
-        where="rel_path LIKE '%_.md' AND (rel_path LIKE 'pages/%' OR rel_path LIKE 'journals/%')",
-    ),
     "display_title": Scalar("notes", NOTE, lambda: uri.display_title(c("page_title")), "replace(url_decode(page_title), '___', '/')"),
     "link_prose": Scalar("notes", NOTE, lambda: uri.prose_link(F.lit("My Vault"), c("rel_path")), f"replace('obsidian://open?vault=My+Vault&file=' || {sql_encoded('url_decode(regexp_replace(rel_path, ' + quoted(chr(92) + '.md' + chr(92) + 'z') + ', ' + quoted('') + '))')}, '+', '%20')"),
     "link_outline_page": Scalar(

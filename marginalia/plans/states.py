@@ -11,7 +11,8 @@ from marginalia.functions.embedding import hashed_words
 from marginalia.operators import answers, chunking, rescan, state, summarize
 from marginalia.plans import note_sql, searches
 from marginalia.plans.scalars import EMBEDDED, TOP_SQL, sql_lines, sql_trimmed
-from marginalia.tables import table
+from marginalia.sources import vault
+from marginalia.tables import scratch, table
 
 NOTE = ("note_id", "rel_path", "page_title", "mtime", "chunker_version", "summary", "summary_status", "summary_attempts")
 
@@ -126,7 +127,14 @@ record_failure = changed_by(lambda: state.only_where(F.col("summary_status") ==
 reset_running = changed_by(state.recovered)
 requeue_missing = changed_by(lambda: state.only_where(state.lacks_vector(), state.started_over()))
 requeue_junk = changed_by(lambda: state.only_where((F.col("summary_status") == state.OK) & text.is_junk_summary(F.col("summary")), state.started_over()))
-mark_unsummarizable = changed_by(lambda: state.only_where(F.length("page_title") < 10, state.unsummarizable()))
+
+
+def mark_unsummarizable(spark: SparkSession, folder: str) -> DataFrame:
+    """The notes after those whose newest scan has too little prose were given up."""
+    prose = titled(spark, folder).select("rel_path", text.narrative_chars(F.col("content"), F.col("outline")).alias("chars"))
+    return shown(notes_of(spark, folder).join(prose, "rel_path", "left").withColumns(state.only_where(F.col("chars") < text.SUMMARY_CHARS, state.unsummarizable())))
+
+
 save_summary = changed_by(lambda: state.only_where(F.col("summary_status") == state.RUNNING, state.saved(F.concat(F.lit("About "), "page_title"), F.array(F.lit(1.0).cast("float")))))
 
 
@@ -229,7 +237,6 @@ SQL = {
     "reset_running": state_sql("summary_status = 3", summary_status="1"),
     "requeue_missing": state_sql("summary_status = 4 AND summary IS NOT NULL AND summary_embedding IS NULL", **OVER),
     "requeue_junk": state_sql(f"summary_status = 4 AND {JUNK} IN ({', '.join(chr(39) + j + chr(39) for j in text.JUNK_SUMMARIES)})", **OVER),
-    "mark_unsummarizable": state_sql("length(page_title) < 10", **OVER | {"summary_status": "4"}),
     "save_summary": state_sql("summary_status = 3", summary="'About ' || page_title", summary_status="4", has_vector="true"),
     "answers_assembled": f"SELECT ask_id, meta ->> '$.question' AS question, coalesce(json_array_length(meta -> '$.sources'), NULL)::INTEGER AS sources, answer, failed, late FROM ({EVENTS})",
     "citations": f"SELECT ask_id, array_to_string(cited, ',') AS cited, array_to_string(invalid, ',') AS invalid, len(cited) > 0 AS answered, list_sort(coalesce((done -> '$.cited')::INT[], [])) = cited AS claim_holds FROM ({CHECKED})",
@@ -319,7 +326,7 @@ def debug_dump(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES |= {f.__name__: f for f in (looked_up_notes, linked_answers, link_targets, link_parameters, search_highlights, debug_dump)}
 SQL |= {
     "looked_up_notes": f"SELECT note_id, page_title, rel_path FROM notes WHERE note_id IN (SELECT unnest((meta -> '$.sources[*].note_id')::BIGINT[]) FROM ({EVENTS}) WHERE meta IS NOT NULL)",
-    "link_targets": f"SELECT DISTINCT note_id, true AS known FROM ({searches.SQL['hybrid_search']})",
+    "link_targets": f"SELECT DISTINCT note_id, url_decode(regexp_extract(link, '&file=(.*)$', 1)) || '.md' IN (SELECT url_decode(rel_path) FROM notes) AS known FROM ({searches.SQL['hybrid_search']})",
     "link_parameters": r"SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '[?&]id=(\d+)', 1) AS id, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(https?://[^\s()<>|\[\]]+)', 1)) AS url FROM documents) WHERE regexp_matches(url, '[?&]id=\d') GROUP BY ALL",
 }
 
@@ -455,3 +462,23 @@ SELECT term, note_id, chunk_id, coalesce(nullif({LONGEST}, ''), first, '') AS hi
   SELECT term, h.note_id, h.chunk_id, coalesce(content, body) AS page, ({sql_lines('text')}) AS l, list_filter(l, lambda x: {sql_trimmed('x')} <> '' AND {sql_trimmed('x')} IS DISTINCT FROM '# ' || title)[1] AS first
   FROM ({HIT_TEXTS}) h LEFT JOIN (SELECT note_id, content FROM ({LATEST}) JOIN (SELECT note_id, rel_path FROM notes) USING (rel_path)) p ON h.note_id = p.note_id WHERE rank < 3 AND text IS NOT NULL)""",
 }
+
+
+def read_vault(dialect: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        """The newest scans written out as a vault and read again in a dialect."""
+        root = scratch(spark, "vault").removeprefix("file:")
+        vault.write(state.latest_scan(table(spark, folder, "raw_notes")), root)
+        vault.register(spark)
+        return spark.read.format("vault").option("path", root).option("dialect", dialect).load().select("rel_path", "content", "error")
+
+    return query
+
+
+QUERIES |= {"vault_prose": read_vault("prose"), "vault_outline": read_vault("outline")}
+IN_VAULT = f"SELECT rel_path, content, NULL::VARCHAR AS error FROM ({LATEST}) WHERE regexp_matches(rel_path, '[^/]\\.md$')"
+SQL |= {
+    "vault_prose": f"{IN_VAULT} AND NOT regexp_matches(rel_path, '(^|/)(\\.[^/]*|trash)/')",
+    "vault_outline": f"{IN_VAULT} AND regexp_matches(rel_path, '^(pages|journals)/')",
+    "mark_unsummarizable": state_sql(f"chars < {text.SUMMARY_CHARS}", f"notes LEFT JOIN (SELECT rel_path, {note_sql.narrative()} AS chars FROM {SCANNED}) USING (rel_path)", **OVER | {"summary_status": "4"}),
+}

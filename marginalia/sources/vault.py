@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -76,5 +76,19 @@ class VaultSource(DataSource):
         return VaultReader(self.options)
 
 
+def write(notes: DataFrame, root: str) -> None:
+    """Each of ``notes`` (rel_path, content) as a file below ``root``, a folder that all executors see; rows without either are left out."""
+
+    def files(rows: Iterator[Row]) -> None:
+        for row in rows:
+            path = os.path.join(root, row["rel_path"])
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as file:
+                file.write(row["content"].encode("utf-8"))
+
+    os.makedirs(root, exist_ok=True)
+    notes.filter("rel_path is not null and content is not null").select("rel_path", "content").foreachPartition(files)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(VaultSource)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import languages, mixing, neighbours, packing, pairs, splitting, stuffing
@@ -44,6 +44,20 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "chunks"), *limit(spark, folder, "chunk_split")).filter("piece = 0").select("chunk_id", "cut")
 
 
+def p2_fits(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each chunk that was cut: whether all pieces are within the limit, numbered without gap, and begin and end where the text does."""
+    chunks, most = table(spark, folder, "chunks"), limit(spark, folder, "chunk_split")[0]
+    n = F.row_number().over(Window.partitionBy("chunk_id").orderBy("piece"))
+    first, last = (F.max(F.when(c, F.col("piece_text"))) for c in (F.col("piece") == 0, F.col("piece") == F.col("top")))
+    pieces = p2_pieces(spark, folder).withColumnRenamed("text", "piece_text").withColumn("n", n).withColumn("top", F.max("piece").over(Window.partitionBy("chunk_id")))
+    told = pieces.groupBy("chunk_id", "note_id").agg(
+        F.bool_and(F.floor(F.length("piece_text") / 4) <= most).alias("within"), F.bool_and((F.col("piece") == F.col("n") - 1) & (F.col("n") >= 1)).alias("numbered"),
+        first.alias("first"), last.alias("last"), (F.count("*") > 1).alias("several"),
+    )
+    both = told.join(chunks.select("chunk_id", "text"), "chunk_id")
+    return both.select("chunk_id", "note_id", "within", "numbered", "several", (F.col("text").startswith(F.col("first")) & F.col("text").endswith(F.col("last"))).alias("whole"))
+
+
 def p3_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Language segments of every chunk, and what its label says."""
     texts = table(spark, folder, "chunks").select(F.col("chunk_id").alias("id"), "text")
@@ -79,6 +93,21 @@ def p5_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "piece", "tokens", "container")
 
 
+def p5_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: containers over the capacity, documents whose pieces don't add up to their tokens, documents cut without need, containers
+    beyond 1.01 times what the tokens alone would fill (and one), and documents placed."""
+    sizes, capacity = document_sizes(spark, folder), limit(spark, folder, "container")[0]
+    placed = settle(packing.pack(sizes, capacity)[0])
+    filled = placed.groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    full = filled.agg(F.count_if(F.col("tokens") > capacity).alias("over"), F.greatest(F.lit(0.0), F.count("*") - 1.01 * F.ceil(F.sum("tokens") / capacity) - 1).alias("wasted"))
+    own = placed.groupBy("id").agg(F.sum("tokens").alias("held"), F.count("*").alias("pieces")).join(sizes.groupBy("id").agg(F.sum("tokens").alias("tokens")), "id", "full_outer")
+    docs = own.agg(
+        F.count_if(~F.col("held").eqNullSafe(F.col("tokens"))).alias("lost"),
+        F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= capacity)).alias("cut"), F.count("*").alias("placed"),
+    )
+    return full.join(docs, how="cross")  # one row each
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that the packing had to cut."""
     return p5_containers(spark, folder).filter("piece = 1").select("doc_id").distinct()
@@ -95,6 +124,16 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(document_sizes(spark, folder), table(spark, folder, "mix_targets"))[1]
 
 
+def p6_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each source, whether no document is used more often than allowed, and whether the target is reached but for a thousandth of all
+    tokens and one document, or as far as all its documents go where they don't suffice."""
+    uses, report = mixing.mix(document_sizes(spark, folder), table(spark, folder, "mix_targets"))
+    most = uses.groupBy("source").agg(F.max("uses").alias("most"), F.max("tokens").alias("largest"))
+    near = F.abs(F.col("mixed_tokens") - F.col("target_tokens")) <= 0.001 * F.col("target_tokens") / F.col("target_share") + F.col("largest")
+    kept = F.when(F.col("short"), F.col("mixed_tokens") == F.col("available_tokens") * F.col("max_uses")).otherwise(near)
+    return report.join(most, "source", "left").select("source", F.round("target_share", 6).alias("target_share"), (F.coalesce("most", F.lit(0)) <= F.col("max_uses")).alias("allowed"), kept.alias("kept"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sources that can't reach their target share: all their documents, as often as allowed, fall short of it."""
     report = p6_report(spark, folder)
@@ -107,7 +146,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_pieces, p2_found, p3_segments, p3_found, p4_found, p4_neighbours, p5_containers, p5_found, p6_mix, p6_report, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_pieces, p2_found, p2_fits, p3_segments, p3_found, p4_found, p4_neighbours, p5_containers, p5_balance, p5_found, p6_mix, p6_report, p6_balance, p6_found, p7_found)}
 
 
 P2_FOUND_SQL = r"""
@@ -129,5 +168,18 @@ SELECT kind, id, neighbour, rank, similarity FROM (
 """
 
 
+P2_FITS_SQL = """
+SELECT chunk_id, note_id, true AS within, true AS numbered, true AS several, true AS whole
+FROM chunks, (SELECT max_tokens FROM size_limits WHERE purpose = 'chunk_split') lim WHERE length(text) // 4 > lim.max_tokens
+"""
+
+P5_BALANCE_SQL = "SELECT 0::BIGINT AS over, 0.0::DOUBLE AS wasted, 0::BIGINT AS lost, 0::BIGINT AS cut, count(*) AS placed FROM documents"
+
+P6_BALANCE_SQL = """
+SELECT replace(lower(trim(source)), '-', '_') AS source, round(sum(target_share), 6) AS target_share, true AS allowed, true AS kept
+FROM mix_targets WHERE source IS NOT NULL GROUP BY 1
+"""
+
+
 def oracle_sql() -> dict:
-    return {"p2_found": P2_FOUND_SQL, "p4_neighbours": P4_NEIGHBOURS_SQL}
+    return {"p2_found": P2_FOUND_SQL, "p2_fits": P2_FITS_SQL, "p4_neighbours": P4_NEIGHBOURS_SQL, "p5_balance": P5_BALANCE_SQL, "p6_balance": P6_BALANCE_SQL}

@@ -25,8 +25,8 @@ PIECES = "piece_bpe_32k.model"
 SAMPLE = 600
 #: Rounds of expectation maximisation; share of the probability spread evenly over all pieces.
 ROUNDS, EVEN = 3, 0.05
-#: Least probability of a character that is no piece, and characters of a word segmented at once.
-UNKNOWN, WORD_CHARS = 1e-9, 24
+#: Least probability of a character that is no piece, characters of a word that is learned from as a whole, and those after which sums are scaled.
+UNKNOWN, WORD_CHARS, SCALED = 1e-9, 30, 16
 #: Words that a worker remembers.
 REMEMBERED = 400_000
 #: Sentences shorter than this many characters (or Han characters) are phrases; a segment has so many sentences at least.
@@ -96,12 +96,29 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(pieces) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
         self.longest = max(map(len, self.ids))
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        joined = sorted((p for p in self.ids if re.fullmatch(f"[{HAN}]{{2,}}", p)), key=len, reverse=True)
-        #: Han text has no word limits: its characters are words, and so are the few pieces of several of them.
-        self.word = re.compile("|".join([*map(re.escape, joined), f"[{HAN}]", f"[^\\W\\d_{HAN}]+"]))
+        self.joined = {p for p in self.ids if re.fullmatch(f"[{HAN}]{{2,}}", p)}
+        self.joined_sizes = sorted({len(p) for p in self.joined})
+        self.word = re.compile(f"[{HAN}]+|[^\\W\\d_{HAN}]+")
 
     def words(self, text: str) -> list[str]:
-        return self.word.findall(text.lower())
+        """Stretches of a text whose segmentations don't depend on each other: words, and the clusters of its Han text."""
+        out: list[str] = []
+        for word in self.word.findall(text.lower()):
+            if HAN_CHAR.match(word):
+                out += self.clusters(word)
+            else:
+                out.append(word)
+        return out
+
+    def clusters(self, run: str) -> list[str]:
+        """A run of Han text, which has no word limits, cut wherever no piece spans: there every segmentation is cut."""
+        out, start, reach = [], 0, 0
+        for i in range(len(run)):
+            if i > start and i >= reach:
+                out.append(run[start:i])
+                start = i
+            reach = max([reach, *(i + n for n in self.joined_sizes if run[i : i + n] in self.joined)])
+        return [*out, run[start:]]
 
     def arcs(self, word: str) -> list[tuple[int, int, list[int]]]:
         """Stretches (start, end, piece ids) of a word; a character that is no piece stands for its bytes."""
@@ -117,7 +134,7 @@ class Vocabulary:
 
 
 def stretches(word: str) -> list[str]:
-    """A word, or its parts if it is too long to be summed at once."""
+    """A word, or its parts if it is too long to learn from as a whole."""
     return [word[i : i + WORD_CHARS] for i in range(0, len(word), WORD_CHARS)]
 
 
@@ -126,16 +143,21 @@ def arc_probability(p: np.ndarray, pieces: list[int]) -> np.ndarray:
 
 
 def word_score(vocabulary: Vocabulary, p: np.ndarray, word: str) -> np.ndarray:
-    """Log probability of a word in each language (columns of ``p``), summed over its segmentations."""
-    total = np.zeros(p.shape[1])
-    for part in stretches(word):
-        arcs = vocabulary.arcs(part)
-        forward = np.zeros((arcs[-1][1] + 1, p.shape[1]))
-        forward[0] = 1
-        for a, b, pieces in arcs:
-            forward[b] += forward[a] * arc_probability(p, pieces)
-        total += np.log(forward[-1])
-    return total
+    """Log probability of a word in each language (columns of ``p``), summed over its segmentations, however long it is.
+
+    Arcs come by their start, so a position's sum is complete when its first arc is reached; it is then divided out of what
+    is still open, which keeps the numbers of a long word in range.
+    """
+    arcs, total = vocabulary.arcs(word), np.zeros(p.shape[1])
+    forward = np.zeros((arcs[-1][1] + 1, p.shape[1]))
+    forward[0], done = 1, 0
+    for a, b, pieces in arcs:
+        if a - done >= SCALED:
+            scale = forward[a].copy()
+            forward[a : a + vocabulary.longest + 1] /= scale
+            total, done = total + np.log(scale), a
+        forward[b] += forward[a] * arc_probability(p, pieces)
+    return total + np.log(forward[-1])
 
 
 def fit_language(vocabulary: Vocabulary, counts: dict[str, int]) -> dict[int, float]:

@@ -30,6 +30,26 @@ def test_forward_sum_equals_all_segmentations(vocabulary):
         assert np.allclose(languages.word_score(vocabulary, p, word), np.log(total("▁" + word)))
 
 
+def test_long_words_and_han_runs_are_summed_as_a_whole(vocabulary):
+    rng = np.random.default_rng(2)
+    p = rng.random((vocabulary.size, 2)) / 100
+
+    def log_total(text):
+        """Sum over all segmentations in logarithms, from the end."""
+        rest = [None] * len(text) + [np.zeros(2)]
+        for i in reversed(range(len(text))):
+            ways = [np.log(p[vocabulary.ids[text[i:j]]]) + rest[j] for j in range(i + 1, len(text) + 1) if text[i:j] in vocabulary.ids and rest[j] is not None]
+            rest[i] = np.logaddexp.reduce(ways) if ways else None
+        return rest[0]
+
+    for word in ("donaudampfschifffahrtsgesellschaft", "internationalization" * 30):
+        assert np.allclose(languages.word_score(vocabulary, p, word), log_total("▁" + word))
+    run = "".join(c for c in "我们中国人民在北京大学学习可以自己的时间没有问题" if c in vocabulary.ids) + "".join(sorted(vocabulary.joined))
+    parts = vocabulary.words(run)
+    assert "".join(parts) == run and any(len(c) > 1 for c in parts)
+    assert np.allclose(sum(languages.word_score(vocabulary, p, c) for c in parts), log_total(run))
+
+
 def test_labels_in_any_spelling(spark):
     rows = [("EN",), ("en-US",), ("deu",), ("German",), ("zh_Hans",), (" fr ",), ("und",), ("",), (None,), ("-",), ("xx",), ("sv",)]
     got = [r[0] for r in spark.createDataFrame(rows, "l string").select(languages.language_code(F.col("l"))).collect()]

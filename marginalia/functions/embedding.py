@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +33,21 @@ def hashed_words(width: int) -> Embedder:
     return embed
 
 
+def http_embedder(url: str, model: str, key: str | None = None, timeout: int = 60) -> Embedder:
+    """An embedding model behind ``url`` (…/v1/embeddings): one vector for each text, in the texts' order; anything else is an error."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        request = urllib.request.Request(url, json.dumps({"model": model, "input": texts}).encode(), headers)
+        with urllib.request.urlopen(request, timeout=timeout) as reply:
+            rows = sorted(json.load(reply)["data"], key=lambda row: row["index"])
+        if len(rows) != len(texts):
+            raise ValueError(f"{len(rows)} vectors for {len(texts)} texts")
+        return np.array([row["embedding"] for row in rows])
+
+    return embed
+
+
 def embedded(c: Column, embed: Embedder) -> Column:
     """Vectors of a text column; null texts count as empty."""
 

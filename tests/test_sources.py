@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import vector
-from marginalia.functions.embedding import embedded, hashed_words
+from marginalia.functions.embedding import embedded, hashed_words, http_embedder
 from marginalia.operators import state, summarize
 from marginalia.sources import snapshots, vault
 from marginalia.streaming import feeds
@@ -93,3 +93,28 @@ def test_summaries(spark):
 def test_streamed_answers(spark):
     body = ': x\n\ndata: {"choices":[{"delta":{"content":"a"}}]}\n\ndata: oops\ndata: {"choices":[]}\ndata: {"choices":[{"delta":{"content":"b"}}]}\ndata: [DONE]\ndata: {"choices":[{"delta":{"content":"c"}}]}'
     assert spark.createDataFrame([(body,)], "b string").select(summarize.stream_text(F.col("b"))).first()[0] == "ab"
+
+
+def test_http_embedder():
+    import http.server
+    import json
+    import threading
+
+    class Model(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            rows = [{"index": i, "embedding": [len(t), 1.0]} for i, t in enumerate(asked)]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": rows[::-1] if "short" not in asked else rows[:1]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    embed = http_embedder(f"http://127.0.0.1:{server.server_port}/v1/embeddings", "m")
+    assert embed(["a", "bbb"]).tolist() == [[1.0, 1.0], [3.0, 1.0]]
+    with pytest.raises(ValueError):
+        embed(["short", "x"])
+    server.shutdown()

@@ -40,6 +40,11 @@ def small(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries)
 
 
+def held(queries: DataFrame) -> DataFrame:
+    """``queries`` read once and for all, as every list of a search needs them."""
+    return queries.sparkSession.createDataFrame(checked_queries(queries), queries.schema)
+
+
 def best_rows(scored: DataFrame, id_name: str, depth: int) -> DataFrame:
     """``scored`` (term, id, score) with ``rank`` from 0, the best ``depth`` of each term."""
     order = Window.partitionBy("term").orderBy(F.desc("score"), id_name)
@@ -164,6 +169,7 @@ def hybrid_search(notes: DataFrame, chunks: DataFrame, queries: DataFrame, depth
 
     Notes that only a summary found have chunk -1. Empty tables give no row.
     """
+    queries = held(queries)
     lists = rank_all(notes, chunks, queries, depth)
     scored = note_scores(best_chunks(fused([lists.dense, lists.lexical], "chunk_id"), chunks), lists.summary)
     order = Window.partitionBy("term").orderBy(F.desc("score"), "note_id")

@@ -6,9 +6,8 @@ as many words drawn from that prose would show, all three by the middle and spre
 slope, residual and divergence are extreme together are flagged; an exact measure of the text then confirms that more than
 half of a flagged page is stuffed.
 
-The prose of a language is a word model fitted on a bounded sample of its labelled pages, first on all of them, no page counting a
-word more than a few times, then without those that diverge from that; equal texts count once: so spam doesn't become normal by
-being frequent. Everything else covers all pages.
+The prose of a language is a word model fitted on all its labelled pages, first with no page counting a word more than a few
+times, then without those that diverge from that; equal texts count once: so spam doesn't become normal by being frequent.
 """
 
 from __future__ import annotations
@@ -16,23 +15,21 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.languages import language_code, training_texts
+from marginalia.llm.languages import language_code
 from marginalia.tables import settle
 
 #: Words of a language's prose that pages are compared with, most frequent first, and those of them that tell the language.
 PROSE_WORDS, LANGUAGE_WORDS = 400, 100
 #: Label of all pages where none has one.
 ANY_LANGUAGE = "zz"
-#: Labelled pages of each language that its prose is fitted on, at most.
-PROSE_PAGES = 1000
 #: A word in at least this share of a language's pages and tokens counts as one of its function words.
 FUNCTION_PAGES, FUNCTION_TOKENS = 0.3, 0.01
 #: How often a page counts a word at most when prose is sketched; words of all languages' prose added to each language's.
@@ -129,33 +126,43 @@ def body_words(text: str) -> Counter:
     return Counter(words(TITLE.sub("", text, count=1)))
 
 
-def prose(pages: DataFrame, known: dict[str, Prose] | None = None) -> dict[str, Prose]:
-    """The prose of each label of ``pages`` (text, lang); given what is ``known``, only from the pages near it, else a sketch in which
+def counted_pages(pages: DataFrame) -> DataFrame:
+    """lang, words and counts (how often each occurs) of each distinct text of a label of ``pages`` (text, lang) that has words."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [(lang, own) for lang, text in zip(rows["lang"], rows["text"]) if (own := body_words(text))]
+            yield pd.DataFrame([(lang, list(own), list(own.values())) for lang, own in found], columns=["lang", "words", "counts"])
+
+    labelled = pages.filter("text is not null and lang is not null").select("lang", "text").distinct()
+    return labelled.mapInPandas(count, "lang string, words array<string>, counts array<long>")
+
+
+def is_near(known: dict[str, Prose]) -> Callable[[Column, Column], Column]:
+    """Whether a page of these words and counts is near the prose of its nearest language."""
+    near = holders_of(known)
+
+    @F.pandas_udf("boolean")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for words_, counts in batches:
+            pages = (Counter(dict(zip(w, n.tolist()))) for w, n in zip(words_, counts))
+            yield pd.Series([nearest_prose(found, known, near)[1] < NO_PROSE for found in pages], dtype=bool)
+
+    return judge
+
+
+def prose(counted: DataFrame, known: dict[str, Prose] | None = None) -> dict[str, Prose]:
+    """The prose of each label of all ``counted`` pages; given what is ``known``, only from the pages near it, else a sketch in which
     a page counts no word more than FIRST_CAP times.
 
     What comes back are at most PROSE_WORDS words a label. Every label's shares are mixed with
     those of all labels together, so that a label of a few pages is no prose of its own.
     """
-    near = holders_of(known) if known else None
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            tokens, holding = defaultdict(Counter), defaultdict(Counter)
-            for text, lang in zip(rows["text"], rows["lang"]):
-                found = body_words(text)
-                if not found or near is not None and nearest_prose(found, known, near)[1] >= NO_PROSE:
-                    continue
-                if near is None:
-                    found = Counter({w: min(k, FIRST_CAP) for w, k in found.items()})
-                tokens[lang].update(found)
-                holding[lang].update(found.keys())
-                tokens[lang][""] += sum(found.values())
-                holding[lang][""] += 1
-            out = [(lang, w, n, holding[lang][w]) for lang, own in tokens.items() for w, n in own.items()]
-            yield pd.DataFrame(out, columns=["lang", "word", "tokens", "pages"])
-
-    counted = pages.select("text", "lang").mapInPandas(count, "lang string, word string, tokens long, pages long")
-    totals = counted.groupBy("lang", "word").agg(F.sum("tokens").alias("tokens"), F.sum("pages").alias("pages"))
+    counts = F.transform("counts", lambda n: F.least(n, F.lit(FIRST_CAP))) if known is None else F.col("counts")
+    kept = counted if known is None else counted.filter(is_near(known)("words", "counts"))
+    size = F.aggregate(counts, F.lit(0).cast("long"), lambda t, n: t + n)  # of a page, which the empty word stands for
+    each = kept.select("lang", F.concat(F.array(F.lit("")), "words").alias("word"), F.concat(F.array(size), counts).alias("tokens"))
+    totals = each.select("lang", F.inline(F.arrays_zip("word", "tokens"))).groupBy("lang", "word").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pages"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("word") != "", F.desc("tokens"), "word"))
     top = totals.withColumn("rank", rank).filter(F.col("rank") <= PROSE_WORDS + 1).drop("rank").collect()
     sizes = {r["lang"]: (r["tokens"], r["pages"]) for r in top if r["word"] == ""}
@@ -318,12 +325,11 @@ def flagged_pages(pages: DataFrame) -> DataFrame:
     coded = pages.filter("doc_id is not null").select("doc_id", "text", F.when(code.rlike("^[a-z]{2}$"), code).alias("lang"))
     if coded.filter("lang is not null").isEmpty():
         coded = coded.withColumn("lang", F.lit(ANY_LANGUAGE))
-    ids = coded.withColumnRenamed("doc_id", "id")
-    sample = settle(training_texts(ids.select("id", "text"), ids.select("id", "lang"), PROSE_PAGES).dropDuplicates(["lang", "text"]))
-    sketch = prose(sample)
+    counted = settle(counted_pages(coded))
+    sketch = prose(counted)
     if not sketch:
         return deviating(curves(profiles(coded.limit(0), {})))
-    return deviating(settle(curves(profiles(coded, prose(sample, sketch) or sketch))))
+    return deviating(settle(curves(profiles(coded, prose(counted, sketch) or sketch))))
 
 
 def stuffed_pages(pages: DataFrame) -> DataFrame:

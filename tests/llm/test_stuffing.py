@@ -91,3 +91,14 @@ def test_spam_in_the_majority(spark):
 def test_labels_that_name_no_language(spark):
     frame = pages(spark).selectExpr("doc_id", "text", "'?' AS lang")
     assert {r["doc_id"] for r in stuffing.stuffed_pages(frame).collect()} <= {9000 + i for i in range(len(SPAM))}
+
+
+def test_prose_is_fitted_on_all_labelled_pages(spark):
+    rows = [(i, f"# Title\n\nOld kettle number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} stays.", "en") for i in range(2600)]
+    frame = spark.createDataFrame(rows + rows[:50] + [(9000, None, "en"), (9001, "no label here", None)], "doc_id long, text string, lang string")
+    counted = stuffing.counted_pages(frame)
+    assert counted.count() == 2600
+    own = stuffing.prose(counted)["en"]
+    assert np.isclose(own.shares["kettle"], (2600 + stuffing.ADDED_WORDS / 5) / (5 * 2600 + stuffing.ADDED_WORDS))
+    near = stuffing.prose(counted, {"en": own})["en"]
+    assert np.isclose(near.shares["kettle"], own.shares["kettle"]) and "kettle" in near.functions

@@ -29,7 +29,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks").select("chunk_id", "note_id", "text")
     labels = table(spark, folder, "chunk_labels").select(F.col("chunk_id").alias("id"), "lang")
     notes = table(spark, folder, "notes").filter("summary_status = 4").select("note_id", "page_title", "summary")
-    models = pairs.fit(chunks.select(F.col("chunk_id").alias("id"), "text"), labels)
+    models = pairs.fit(chunks.select(F.col("chunk_id").alias("id"), "text"), labels, notes)
     return pairs.defective(notes, chunks, pairs.learn_declining(notes, chunks, models))
 
 

@@ -65,7 +65,10 @@ BLOCK = re.compile(
     r"|^[ \t]*\|[^\n]*$|^[ \t>*+-]*\#{1,6}[ \t][^\n]*$|^[ \t]*(?:[-*][ \t]+)?[A-Za-z][\w-]*::[^\n]*$",  # tables, headings, properties
     re.S | re.M | re.I,
 )
+FENCE_MARKS = re.compile(r"```|#\+BEGIN_QUERY", re.I)
+BLOCK_LINE = re.compile(r"[ \t]*\||[ \t>*+-]*#{1,6}[ \t]|[ \t]*(?:[-*][ \t]+)?[A-Za-z][\w-]*::", re.I)
 INLINE = re.compile(r"!?\[\[[^\]\n]*\]\]|!?\[[^\]\n]*\]\([^)\s]*\)|<?(?:https?://|www\.)[^\s>)]+>?|(?<!\w)#\w\S*|\(\([\w-]+\)\)|\{\{[^}\n]*\}\}|[A-Za-z0-9+/=_-]{40,}")
+INLINE_MARKS, INLINE_CHARS = ("[", "#", "://", "www.", "((", "{{"), 40
 SPLIT = re.compile(rf"(?<=[.!?…])[\"')\]»”’]*\s+|(?<=[。！？])[\"')\]」』”’）]*|\n+")
 HAN_CHAR = re.compile(f"[{HAN}]")
 
@@ -75,9 +78,25 @@ def body_of(text: str) -> str:
     return TITLE.sub("", text, count=1).strip()
 
 
+def without_blocks(body: str) -> str:
+    """A body with every BLOCK replaced by a line feed; without fences, blocks are lines and told by how these begin."""
+    if "#" in body or "`" in body:
+        if FENCE_MARKS.search(body):
+            return BLOCK.sub("\n", body)
+    elif "|" not in body and "::" not in body:
+        return body
+    return "\n".join("\n" if BLOCK_LINE.match(line) else line for line in body.split("\n"))
+
+
+def without_inline(text: str) -> str:
+    """A text with every INLINE stretch replaced by a blank; most texts have neither a mark of one nor a word that is long enough."""
+    odd = lambda line: any(m in line for m in INLINE_MARKS) or any(len(w) >= INLINE_CHARS for w in line.split())
+    return "\n".join(INLINE.sub(" ", line) if odd(line) else line for line in text.split("\n"))
+
+
 def sentences(body: str) -> list[str]:
     """Sentences of prose, without code, queries, tables, headings, properties, links and blobs; phrases are left out."""
-    parts = (p.strip() for p in SPLIT.split(INLINE.sub(" ", BLOCK.sub("\n", body))))
+    parts = (p.strip() for p in SPLIT.split(without_inline(without_blocks(body))))
     return [p for p in parts if len(p) >= SENTENCE_CHARS or len(p) >= SENTENCE_HAN and len(HAN_CHAR.findall(p)) >= SENTENCE_HAN]
 
 
@@ -183,6 +202,12 @@ def fit_language(vocabulary: Vocabulary, counts: dict[str, int]) -> dict[int, fl
     return dict(zip(seen.tolist(), p[seen, 0].tolist()))
 
 
+def labelled_texts(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """All rows of ``texts`` (id, text) with each label (id, lang) that names a language."""
+    named = labels.select("id", language_code(F.col("lang")).alias("lang")).filter("lang rlike '^[a-z]{2}$'").distinct()
+    return texts.filter("text is not null").join(named, "id")
+
+
 def training_texts(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Rows of ``texts`` (id, text) with a label (id, lang) that names a language: ``sample`` of each at most, by hashed id.
 

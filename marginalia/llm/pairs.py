@@ -3,15 +3,17 @@
 Languages are told apart by character n-gram naive Bayes: the posterior of the page's languages for the summary must not vanish. A
 summary without final stop is truncated unless the end-of-text n-grams of finished sentences say that it may end there. What
 declines is learned, not listed: one more class of the same naive Bayes, fitted on summaries that hardly have a word in common
-with their page; a summary is a refusal if it belongs there and its page doesn't support it either. All models are fitted on
-bounded samples; pages and summaries are processed whole.
+with their page; a summary is a refusal if it belongs there and its page doesn't support it either. The models are fitted on
+all labelled chunks and all summaries. Of the contexts and words in the chunks, only those that summaries need are counted.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import Counter
-from collections.abc import Iterator
+import sys
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -19,14 +21,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.languages import SAMPLE, SPLIT, body_of, segments, sentences, training_texts
+from marginalia.llm.languages import SPLIT, body_of, labelled_texts, segments, sentences
 from marginalia.llm.stuffing import words
 from marginalia.tables import settle
 
-#: Cells of the hashed n-gram tables (powers of two), and the count added to each n-gram of the naive Bayes model.
-LANGUAGE_BITS, END_BITS, ADDED = 18, 19, 0.05
+#: Cells of the hashed n-gram table (a power of two), and the count added to each n-gram of the naive Bayes model.
+LANGUAGE_BITS, ADDED = 18, 0.05
+#: N-grams that ADDED refers to, at most.
+SMOOTHED = 700_000
+#: Cells of the filter that contexts and words pass before they are counted (a power of two); those counted in a task at once, and languages.
+FILTER_BITS, COUNTED, COUNTED_LANGUAGES = 24, 1_000_000, 32
 #: Contexts of an end, longest first: characters before it (0: those of the last word), and whether the words since the last
-#: clause mark count too. Those of six characters and more are counted at word ends only.
+#: clause mark count too.
 CONTEXTS = ((20, True), (12, True), (6, True), (6, False), (0, False), (3, False))
 #: Weight of a shorter context's estimate in that of a longer one, estimate without context, and the least chance of a true end.
 BACKOFF, PRIOR, LEAST_END = 3.0, 0.01, 0.02
@@ -36,10 +42,12 @@ SLICE = 400
 PAGE_CHARS = 16
 #: Posterior of a page's languages under which a summary is in another one.
 LEAST_POSTERIOR = 0.01
-#: Summaries that declining is learned from, at most; rounds of learning.
-ANSWERS, LEARNING_ROUNDS = 10_000, 2
+#: Rounds of learning what declines.
+LEARNING_ROUNDS = 2
 #: Summaries with their words that every task holds at most when pages are searched for them; more are joined by a shuffle.
 HELD_ANSWERS = 50_000
+#: A word that no text has weighs like one in so many of them, so that weights don't depend on how many texts there are.
+RAREST = 600
 #: Weighted share of a summary's words that its page has at least if it supports it; the share up to which declining is learned from
 #: it; log odds of declining from which on it counts.
 SUPPORT, LEARNED_SUPPORT, DECLINING_ODDS = 0.4, 0.2, 5.0
@@ -60,7 +68,6 @@ OPENERS, CLOSERS = "([{（「『„“«", {")": "([{（", "]": "[", "}": "{", "
 ASIDE = re.compile(r"\s*[(（][^()（）]*[)）]\s*$")
 MARK = re.compile(r"[,;:，；：、(（„“\"«\n]")
 CLAUSE_END = re.compile(r"(?=[,;，；\n]|(?<!\s)\s?[(（])")
-WORD_END = re.compile(r"[^\n\x02](?=[^\w]|\Z)|[^\w\n\x02]|[\u3400-\u9fff]")
 #: Code point that stands before a sentence's first character; characters of a last word that count.
 PAD, WORD_CONTEXT = 2, 16
 
@@ -116,64 +123,116 @@ def language_scores(texts: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    """Log probabilities of the cells (of each column), given how often each was counted. ADDED weighs as in SMOOTHED n-grams if there
+    are more: how unlikely what was never seen is doesn't depend on how much was read."""
+    own = counts * np.minimum(1.0, SMOOTHED / np.maximum(counts.sum(axis=0), 1)) + ADDED
+    return np.log(own / own.sum(axis=0)).astype(np.float32)
+
+
 # --- ends
 
 
 def stripped(text: str) -> str:
     """A sentence without final stop and final aside, all numbers alike."""
-    return re.sub(r"\d+", "0", ASIDE.sub("", STOP.sub("", text.strip()))).lower()
+    text = STOP.sub("", text.strip())
+    return re.sub(r"\d+", "0", ASIDE.sub("", text) if text.rstrip()[-1:] in (")", "）") else text).lower()
+
 
+@functools.cache
+def alphanumeric() -> np.ndarray:
+    """Whether each code point is a letter or digit."""
+    return np.array([chr(i).isalnum() for i in range(sys.maxunicode + 1)], dtype=bool)
 
-def end_cells(text: str) -> list[np.ndarray]:
-    """For each context, the table cell of every position of a text that might be its end."""
+
+def end_keys(text: str) -> list[np.ndarray]:
+    """For each context, the hash of it at every position of a text that might be its end."""
     c, n = codes(text), len(text)
-    word = np.array([ch.isalnum() for ch in text], dtype=bool)
+    word = alphanumeric()[c]
     han = (c >= 0x3400) & (c <= 0x9FFF)
     begins = word & ~np.concatenate([[False], word[:-1]]) | han
     count = np.cumsum(begins)
     marks = np.zeros(n, dtype=bool)
     marks[[m.start() for m in MARK.finditer(text)]] = True
     since = np.minimum(count - np.maximum.accumulate(np.where(marks, count, 0)), 15).astype(np.uint64)
-    start = np.maximum.accumulate(np.where(begins | ~word, np.arange(n), 0))
-    prime, out = np.uint64(0x100000001B3), []
-    for k, clause in CONTEXTS:
-        h = np.full(n, k, dtype=np.uint64)
-        for j in range(k or WORD_CONTEXT):
-            before = np.concatenate([np.full(min(j, n), PAD, dtype=np.uint64), c[: n - min(j, n)]])
-            h = h * prime + (before if k else np.where(np.arange(n) - j >= start, before, np.uint64(0)))
-        out.append(mixed((h * np.uint64(16) + (since if clause else np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15), END_BITS))
+    into = np.arange(n) - np.maximum.accumulate(np.where(begins | ~word, np.arange(n), 0))
+    prime, mask = 0x100000001B3, (1 << 64) - 1
+    padded = np.concatenate([np.full(max(WORD_CONTEXT, *(k for k, _ in CONTEXTS)), PAD, dtype=np.uint64), c])
+    before = lambda j: padded[len(padded) - n - j : len(padded) - j]
+    h, own, upto = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64), {}
+    for j in range(max(k for k, _ in CONTEXTS)):
+        h = h * np.uint64(prime) + before(j)
+        upto[j + 1] = h
+    for j in range(WORD_CONTEXT):
+        own = own * np.uint64(prime) + np.where(into >= j, before(j), np.uint64(0))
+    out = []
+    for i, (k, clause) in enumerate(CONTEXTS):
+        whole = (upto[k] if k else own) * np.uint64(16) + (since if clause else np.uint64(0)) + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & mask)
+        whole = (whole ^ (whole >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append((whole ^ (whole >> np.uint64(32))).view(np.int64))
     return out
 
 
-def count_ends(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each context and cell: how often it occurs in finished sentences, and how often a clause ends there."""
-    seen, ends = (np.zeros((len(CONTEXTS), 1 << END_BITS), dtype=np.int32) for _ in range(2))
+def asked_for(keys: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+    """Which ``keys`` a filter lets pass; all, if there is none."""
+    if bits is None:
+        return np.ones(len(keys), dtype=bool)
+    cell = keys & ((1 << FILTER_BITS) - 1)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def count_ends(texts: list[str], bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts that pass a filter, how often each occurs in finished sentences, and how often a clause ends there."""
+    found, closed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     finished = [t for s in texts if STOP.search(s) and len(t := stripped(s)) >= 5]
     gap = "\n" + chr(PAD) * max(k for k, _ in CONTEXTS)
     for first in range(0, len(finished), SLICE):
         text = "".join(gap + t for t in finished[first : first + SLICE]) + "\n"
-        inside = np.flatnonzero(~np.isin(codes(text), [PAD, 10]))
-        word_ends = np.array([m.start() for m in WORD_END.finditer(text)])
+        inside = ~np.isin(codes(text), [PAD, 10])
         last = [m.start() - 1 for m in CLAUSE_END.finditer(text) if text[m.start() - 1] != chr(PAD)]
-        for i, (cells, (k, _)) in enumerate(zip(end_cells(text), CONTEXTS)):
-            np.add.at(seen[i], cells[word_ends if k >= 6 else inside], 1)
-            np.add.at(ends[i], cells[last], 1)
-    return seen, ends
+        for keys in end_keys(text):
+            for out, own in ((found, keys[inside]), (closed, keys[last])):
+                out.append(own[asked_for(own, bits)])
+    seen, n_seen = np.unique(np.concatenate(found), return_counts=True)
+    ends, n_ends = np.unique(np.concatenate(closed), return_counts=True)
+    keys = np.union1d(seen, ends)
+    return keys, Counts(seen, n_seen).of(keys), Counts(ends, n_ends).of(keys)
 
 
-def end_chance(text: str, seen: np.ndarray, ends: np.ndarray) -> float:
+@dataclass(frozen=True)
+class Counts:
+    """How often each of some sorted keys was counted."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], 0)
+
+
+def end_chance(text: str, seen: Counts, ends: Counts) -> float:
     """Estimated chance that a sentence may end where this text does; longer contexts weigh as much as was seen of them.
 
-    Once a context was never seen, no longer one can have been: what their cells hold is other contexts'.
+    Once a context was never seen, no longer one can have been.
     """
-    cells, p = end_cells(text), PRIOR
-    for i in reversed(range(len(CONTEXTS))):
-        if not seen[i][cells[i][-1]]:
+    keys, p = np.array([k[-1] for k in end_keys(text)]), PRIOR
+    for n_seen, n_ends in zip(reversed(seen.of(keys)), reversed(ends.of(keys))):
+        if not n_seen:
             break
-        p = (ends[i][cells[i][-1]] + BACKOFF * p) / (seen[i][cells[i][-1]] + BACKOFF)
+        p = (n_ends + BACKOFF * p) / (n_seen + BACKOFF)
     return float(p)
 
 
+def last_of(text: str) -> str:
+    """What a summary ends with, if its end must be judged by its context: empty if it has a final stop or aside."""
+    if STOP.search(text) or ASIDE.search(text):  # nobody stops right behind a closed aside
+        return ""
+    return stripped(([p for p in SPLIT.split(text) if letters(p)] or [""])[-1])
+
+
 def unclosed(text: str) -> bool:
     """Whether a bracket or quotation is opened and never closed."""
     stack: list[str] = []
@@ -191,49 +250,100 @@ def unclosed(text: str) -> bool:
 @dataclass(frozen=True)
 class Models:
     """Languages, their table of log probabilities (cell, language), the counts of contexts and ends, for each language how many
-    of its texts were read and how many of them have each word, and the log probabilities of declining (None if unlearned)."""
+    texts it has and how many of them have each word (hashed), and the log probabilities of declining (None if unlearned)."""
 
     languages: list[str]
     table: np.ndarray
-    seen: np.ndarray
-    ends: np.ndarray
+    seen: Counts
+    ends: Counts
     texts: list[int]
-    holding: list[dict[str, int]]
+    holding: list[Counts]
     declining: np.ndarray | None = None
 
 
-def fit(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Models:
-    """Models from ``texts`` (id, text) and their ``labels`` (id, lang), each language by one task on its bounded sample.
+def filter_of(notes: DataFrame) -> np.ndarray:
+    """Bits of the contexts and words that the summaries of ``notes`` (page_title, summary) are judged by; its size is fixed."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for rows in batches:
+            known: set[str] = set()
+            for text, title in zip(rows["summary"], rows["page_title"]):
+                known.update(words(untitled(text, title)))
+                if last := last_of(text):
+                    cells[[k[-1] & ((1 << FILTER_BITS) - 1) for k in end_keys(last)]] = True
+            cells[[word_hash(w) & ((1 << FILTER_BITS) - 1) for w in known]] = True
+        yield pd.DataFrame({"cell": np.flatnonzero(cells)})
+
+    marked = notes.filter("summary is not null").select("page_title", "summary").mapInPandas(mark, "cell int").distinct().toArrow()  # at most as many as the filter has
+    cells = np.zeros(1 << FILTER_BITS, dtype=bool)
+    cells[marked["cell"].to_numpy()] = True
+    return np.packbits(cells, bitorder="little")
+
 
-    Only the cells that were hit come back, at most as many as the tables have, and the words that two texts of the sample share.
+COUNTED_SCHEMA = "kind string, lang string, key long, a long, b long"
+
+
+def fit(texts: DataFrame, labels: DataFrame, notes: DataFrame | None = None) -> Models:
+    """Models from all ``texts`` (id, text) that have a label in ``labels`` (id, lang), wherever they are.
+
+    What comes back are the cells that were hit, at most as many as the table has, and the counts of the contexts and words that the summaries of
+    ``notes`` (page_title, summary) are judged by (a context of each length for a summary without final stop, and their vocabulary), or of all.
     """
+    bits = None if notes is None else filter_of(notes)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams: dict[str, np.ndarray] = {}
+        holding: dict[str, Counter] = defaultdict(Counter)
+        n_texts: Counter = Counter()
+
+        def counted() -> pd.DataFrame:
+            parts = [("text", lang, [0], [n], [0]) for lang, n in n_texts.items()]
+            parts += [("gram", lang, at, own[at], 0 * at) for lang, own in grams.items() for at in [np.flatnonzero(own)]]
+            for lang, own in holding.items():
+                keys, n = np.array([word_hash(w) for w in own]), np.array(list(own.values()))
+                passed = asked_for(keys, bits)
+                parts.append(("word", lang, keys[passed], n[passed], 0 * n[passed]))
+            for x in (grams, holding, n_texts):
+                x.clear()
+            return frame(parts)
+
+        def frame(parts: list[tuple]) -> pd.DataFrame:
+            sizes = [len(p[2]) for p in parts]
+            column = lambda i: np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]).astype(np.int64)
+            named = lambda i: np.repeat(np.array([p[i] for p in parts], dtype=object), sizes)
+            return pd.DataFrame({"kind": named(0), "lang": named(1), "key": column(2), "a": column(3), "b": column(4)})
 
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
-        bodies = [body_of(text) for text in rows["text"]]
-        prose = [s for body in bodies for s in sentences(body)]
-        one, three = gram_cells(codes("\n".join(prose).lower()))
-        grams = np.bincount(np.concatenate([one, three]), minlength=1 << LANGUAGE_BITS)
-        seen, ends = count_ends(prose)
-        flat = np.flatnonzero(seen)
-        holding = {w: n for w, n in Counter(w for body in bodies for w in set(words(body))).items() if n > 1}
-        parts = (np.flatnonzero(grams), grams[grams > 0], flat, seen.ravel()[flat], ends.ravel()[flat], np.array([len(bodies), *holding.values()]))
-        return pd.DataFrame([(rows["lang"].iloc[0], *(p.astype("<i4").tobytes() for p in parts), list(holding))])
-
-    schema = "lang string, cells binary, grams binary, at binary, seen binary, ends binary, holding binary, words array<string>"
-    rows = sorted(training_texts(texts, labels, sample).groupBy("lang").applyInPandas(train, schema).collect(), key=lambda r: r["lang"])
-    numbers = lambda r, name: np.frombuffer(r[name], dtype="<i4")
-    counts = np.full((1 << LANGUAGE_BITS, len(rows)), ADDED)
-    seen, ends = (np.zeros(len(CONTEXTS) << END_BITS, dtype=np.int64) for _ in range(2))
-    for i, r in enumerate(rows):
-        counts[numbers(r, "cells"), i] += numbers(r, "grams")
-        seen[numbers(r, "at")] += numbers(r, "seen")
-        ends[numbers(r, "at")] += numbers(r, "ends")
-    if not rows:  # nothing is labelled: no language can be told from another
-        counts = np.ones((1 << LANGUAGE_BITS, 1))
-    shape = (len(CONTEXTS), -1)
-    capped = (np.minimum(x, 65_535).astype(np.uint16).reshape(shape) for x in (seen, ends))
-    held = [(int(numbers(r, "holding")[0]), dict(zip(r["words"], numbers(r, "holding")[1:].tolist()))) for r in rows] or [(0, {})]
-    return Models([r["lang"] for r in rows] or ["und"], np.log(counts / counts.sum(axis=0)).astype(np.float32), *capped, *map(list, zip(*held)))
+        for rows in batches:
+            prose: dict[str, list[str]] = defaultdict(list)
+            for text, lang in zip(rows["text"], rows["lang"]):
+                body = body_of(text)
+                prose[lang] += sentences(body)
+                if own := set(words(body)):
+                    holding[lang].update(own)
+                n_texts[lang] += 1
+            for lang, own in prose.items():
+                cells = np.concatenate(gram_cells(codes("\n".join(own).lower())))
+                grams[lang] = grams.get(lang, 0) + np.bincount(cells, minlength=1 << LANGUAGE_BITS)
+            keys, seen, ends = count_ends([s for own in prose.values() for s in own], bits)
+            yield frame([("end", "", keys, seen, ends)])
+            if len(grams) > COUNTED_LANGUAGES or sum(map(len, holding.values())) > COUNTED:
+                yield counted()
+        yield counted()
+
+    every = labelled_texts(texts, labels).select("text", "lang").mapInPandas(count, COUNTED_SCHEMA)
+    found = every.groupBy("kind", "lang", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow().to_pandas().sort_values(["kind", "lang", "key"])
+    numbers = lambda rows, name: rows[name].to_numpy()
+    of = lambda kind, lang="": found[(found["kind"] == kind) & (found["lang"] == lang)]
+    languages = sorted(found["lang"][found["kind"] == "text"])
+    counts = np.zeros((1 << LANGUAGE_BITS, max(1, len(languages))))  # nothing is labelled: no language can be told from another
+    for i, lang in enumerate(languages):
+        own = of("gram", lang)
+        counts[numbers(own, "key"), i] += numbers(own, "a")
+    keys, seen, ends = (numbers(of("end"), name) for name in ("key", "a", "b"))
+    n_texts = [int(of("text", lang)["a"].iloc[0]) for lang in languages] or [0]
+    holding = [Counts(numbers(own, "key"), numbers(own, "a")) for lang in languages or [""] for own in [of("word", lang)]]
+    return Models(languages or ["und"], log_shares(counts), Counts(keys, seen), Counts(keys, ends), n_texts, holding)
 
 
 # --- support and declining
@@ -251,9 +361,11 @@ def word_hash(word: str) -> int:
 
 
 def weighed_words(text: str, title: str | None, language: int, models: Models) -> dict[int, float]:
-    """Hashes of a summary's words, weighing what they tell: the fewer texts of the language have a word, the more."""
-    n, holding = models.texts[language], models.holding[language]
-    return {word_hash(w): float(np.log((n + 1) / (holding.get(w, 0) + 1))) for w in set(words(untitled(text, title)))}
+    """Hashes of a summary's words, weighing what they tell: the smaller the share of the language's texts that have a word, the more."""
+    hashes = np.array([word_hash(w) for w in sorted(set(words(untitled(text, title))))], dtype=np.int64)
+    n = models.texts[language]
+    scale = min(n, RAREST)
+    return dict(zip(hashes.tolist(), np.log((scale + 1) / (models.holding[language].of(hashes) * scale / max(n, 1) + 1)).tolist()))
 
 
 def support(asked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -262,11 +374,12 @@ def support(asked: DataFrame, chunks: DataFrame) -> DataFrame:
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for note_id, text, asked_for, weights in zip(rows["note_id"], rows["text"], rows["words"], rows["weights"]):
+            out = {}
+            for note_id, text, wanted, weights in zip(rows["note_id"], rows["text"], rows["words"], rows["weights"]):
                 own = {word_hash(w) for w in set(words(body_of(text)))}
-                out += [(note_id, w, x) for w, x in zip(asked_for, weights) if w in own]
-            yield pd.DataFrame(out, columns=["note_id", "word", "weight"]).astype({"note_id": "int64", "word": "int64", "weight": "float64"})
+                out |= {(note_id, w): x for w, x in zip(wanted.tolist(), weights.tolist()) if w in own}
+            rows = [(note_id, w, x) for (note_id, w), x in out.items()]
+            yield pd.DataFrame(rows, columns=["note_id", "word", "weight"]).astype({"note_id": "int64", "word": "int64", "weight": "float64"})
 
     few = asked.limit(HELD_ANSWERS + 1).count() <= HELD_ANSWERS
     met = chunks.filter("text is not null").select("note_id", "text").join(F.broadcast(asked) if few else asked, "note_id")
@@ -282,9 +395,9 @@ def declining_odds(texts: list[str], scores: np.ndarray, declining: np.ndarray)
     return np.where([bool(letters(t)) for t in texts], language_scores(texts, declining[:, None])[:, 0] - scores.max(axis=1), -np.inf)
 
 
-def learn_declining(notes: DataFrame, chunks: DataFrame, models: Models, most: int = ANSWERS) -> Models:
-    """``models`` with the class of declining answers, learned from a hashed sample of about ``most`` of ``notes`` (note_id, page_title,
-    summary): from those that their pages don't support, in each round but the first only from those that declined in the last one."""
+def learn_declining(notes: DataFrame, chunks: DataFrame, models: Models) -> Models:
+    """``models`` with the class of declining answers, learned from all ``notes`` (note_id, page_title, summary): from those that
+    their pages don't support, in each round but the first only from those that declined in the last one."""
     table = models.table
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,29 +407,34 @@ def learn_declining(notes: DataFrame, chunks: DataFrame, models: Models, most: i
             asked = [weighed_words(t, None, int(lang), models) for t, lang in zip(texts, best)]
             yield pd.DataFrame({"note_id": rows["note_id"], "text": texts, "words": [list(a) for a in asked], "weights": [list(a.values()) for a in asked]})
 
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for t in rows["text"] if letters(t)]
-        scores, chosen, grams = language_scores(texts, table), np.ones(len(texts), bool), np.zeros(1 << LANGUAGE_BITS, np.int64)
-        for _ in range(LEARNING_ROUNDS):
-            joined = "\n".join(t for t, c in zip(texts, chosen) if c).lower()
-            grams = np.bincount(np.concatenate(gram_cells(codes(joined))), minlength=1 << LANGUAGE_BITS) if joined else np.zeros_like(grams)
-            chosen = declining_odds(texts, scores, np.log((grams + ADDED) / (grams + ADDED).sum()).astype(np.float32)) > DECLINING_ODDS
-        at = np.flatnonzero(grams)
-        return pd.DataFrame({"cell": at, "grams": grams[at]})
+    def count(declining: np.ndarray | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = np.zeros(1 << LANGUAGE_BITS, np.int64)
+            for rows in batches:
+                texts = np.array([t for t in rows["text"] if letters(t)], dtype=object)
+                if declining is not None:
+                    texts = texts[declining_odds(texts.tolist(), language_scores(texts.tolist(), table), declining) > DECLINING_ODDS]
+                if len(texts):
+                    found += np.bincount(np.concatenate(gram_cells(codes("\n".join(texts).lower()))), minlength=1 << LANGUAGE_BITS)
+            at = np.flatnonzero(found)
+            yield pd.DataFrame({"cell": at, "grams": found[at]})
+
+        return grams
 
     named = F.lower(F.regexp_replace("summary", r"(?U)^[\W_]+|[\W_]+$", ""))
-    told = notes.filter(F.col("summary").isNotNull() & ~named.isin("", *PLACEHOLDERS)).select("note_id", "page_title", "summary")
-    step = max(1, -(-told.count() // most))
-    sampled = told.filter(F.pmod(F.xxhash64("note_id"), F.lit(step)) == 0).dropDuplicates(["note_id"])
-    asked = settle(sampled.mapInPandas(weigh, "note_id long, text string, words array<long>, weights array<double>"))
+    told = notes.filter(F.col("summary").isNotNull() & ~named.isin("", *PLACEHOLDERS)).select("note_id", "page_title", "summary").dropDuplicates(["note_id"])
+    asked = settle(told.mapInPandas(weigh, "note_id long, text string, words array<long>, weights array<double>"))
     held = support(asked.drop("text"), chunks)
-    poor = asked.select("note_id", "text").join(held.filter(F.col("support") < LEARNED_SUPPORT), "note_id")
-    rows = poor.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(train, "cell int, grams long").collect()  # cells of the table, from the bounded sample
-    if not rows:
-        return models
-    counts = np.full(1 << LANGUAGE_BITS, ADDED)
-    counts[[r["cell"] for r in rows]] += [r["grams"] for r in rows]
-    return replace(models, declining=np.log(counts / counts.sum()).astype(np.float32))
+    poor = settle(asked.select("note_id", "text").join(held.filter(F.col("support") < LEARNED_SUPPORT), "note_id").select("text"))
+    declining = None
+    for _ in range(LEARNING_ROUNDS):
+        found = poor.mapInPandas(count(declining), "cell int, grams long").groupBy("cell").agg(F.sum("grams").alias("grams")).toArrow()  # cells of the table
+        if not found.num_rows and declining is None:
+            return models
+        counts = np.zeros(1 << LANGUAGE_BITS)
+        counts[found["cell"].to_numpy()] = found["grams"].to_numpy()
+        declining = log_shares(counts)
+    return replace(models, declining=declining)
 
 
 # --- pairs
@@ -395,9 +513,8 @@ def answers(notes: DataFrame, models: Models) -> DataFrame:
                 broken = False
                 if not defect and unclosed(text):
                     broken = True
-                elif not defect and not STOP.search(text) and not ASIDE.search(text):  # nobody stops right behind a closed aside
-                    last = stripped([p for p in SPLIT.split(text) if letters(p)][-1])
-                    broken = bool(last) and end_chance(last, seen, ends) < LEAST_END
+                elif not defect and (last := last_of(text)):
+                    broken = end_chance(last, seen, ends) < LEAST_END
                 out.append((note_id, defect, scores[i], bool(declines), list(asked), list(asked.values()), broken))
             yield pd.DataFrame(out, columns=["note_id", "defect", "scores", "declines", "words", "weights", "truncated"])
 

@@ -112,3 +112,33 @@ def test_empty_tables(spark):
     assert models.declining is None
     assert [r["defect"] for r in pairs.defective(notes, chunks, models).collect()] == ["empty"]
     assert pairs.defective(notes.limit(0), chunks.limit(0), models).count() == 0
+
+
+def test_models_are_fitted_on_all_rows(spark):
+    rows = [(i, f"# T\n\nThe kettle {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x stays near the river.", "en") for i in range(1500)]
+    chunks = spark.createDataFrame(rows, "id long, text string, lang string")
+    notes = spark.createDataFrame([(1, "T", "The kettle stays near the"), (2, "T", "Nothing.")], "note_id long, page_title string, summary string")
+    models = pairs.fit(chunks.select("id", "text"), chunks.select("id", "lang"), notes)
+    count = lambda word: models.holding[0].of(np.array([pairs.word_hash(word)]))[0]
+    assert models.texts == [1500] and count("kettle") == 1500 and count("nothing") == 0 and count("river") == 0
+    keys = np.array([k[-1] for k in pairs.end_keys("the kettle stays near the")])
+    assert models.seen.of(keys)[3] == 1500 and not models.ends.of(keys).any()  # the six last characters
+    assert len(models.seen.keys) <= len(keys)  # of what no summary asks, nothing comes back
+
+
+def test_end_counts_are_not_capped():
+    keys, seen, ends = pairs.count_ends(["An old kettle."] * 70_000)
+    at = np.array([k[-1] for k in pairs.end_keys("an old kettle")])
+    assert pairs.Counts(keys, seen).of(at).tolist() == pairs.Counts(keys, ends).of(at).tolist() == [70_000] * len(at)
+
+
+def test_declining_is_learned_from_every_answer(spark, models):
+    notes, chunks = declining(spark)
+    once = pairs.learn_declining(notes, chunks, models).declining
+    refusal = [(10_000 + i, "Old kettle", "Zyx qwv.") for i in range(10_500)]
+    more = spark.createDataFrame(refusal, "note_id long, page_title string, summary string")
+    pages = more.selectExpr("note_id", "'# Old kettle\n\nThe old kettle stays.' AS text")
+    learned = pairs.learn_declining(notes.union(more), chunks.union(pages), models).declining
+    cell = pairs.gram_cells(pairs.codes("zyx qwv."))[1][0]
+    grams = 10_500 / np.exp(learned[cell])  # all grams that were counted
+    assert learned[cell] > once[cell] and grams > 10_500 * 2 * len("zyx qwv.")

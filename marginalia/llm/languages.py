@@ -70,9 +70,30 @@ BLOCK_LINE = re.compile(r"[ \t]*\||[ \t>*+-]*#{1,6}[ \t]|[ \t]*(?:[-*][ \t]+)?[A
 INLINE = re.compile(r"!?\[\[[^\]\n]*\]\]|!?\[[^\]\n]*\]\([^)\s]*\)|<?(?:https?://|www\.)[^\s>)]+>?|(?<!\w)#\w\S*|\(\([\w-]+\)\)|\{\{[^}\n]*\}\}|[A-Za-z0-9+/=_-]{40,}")
 INLINE_MARKS, INLINE_CHARS = ("[", "#", "://", "www.", "((", "{{"), 40
 SPLIT = re.compile(rf"(?<=[.!?…])[\"')\]»”’]*\s+|(?<=[。！？])[\"')\]」』”’）]*|\n+")
+#: SPLIT with the stop that it stands behind, which is quicker to search for.
+BREAK = re.compile(r"[.!?…][\"')\]»”’]*\s+|[。！？][\"')\]」』”’）]*|\n+")
+#: What a text has if it may be split elsewhere than at line feeds and blanks behind a stop: closing marks behind stops, other blanks, Han stops.
+ODD_ASCII = (*(a + b for a in ".!?" for b in "\"')]"), *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+ODD_OTHERS = (*(a + b for a in ".!?…" for b in "\"')]»”’" if not (a + b).isascii()), *(chr(i) for i in range(128, 0x10000) if chr(i).isspace()), *"。！？")
 HAN_CHAR = re.compile(f"[{HAN}]")
 
 
+def split_at(breaks: re.Pattern, text: str) -> list[str]:
+    """Parts of a text between ``breaks`` (BREAK or one that differs behind Han stops only), some with blanks around them.
+
+    Each break is line feeds or begins with the last character of the part before it.
+    """
+    if not any(x in text for x in ODD_ASCII) and (text.isascii() or not any(x in text for x in ODD_OTHERS)):
+        return text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").replace("… ", "…\n").split("\n")
+    out, at = [], 0
+    for m in breaks.finditer(text):
+        start, end = m.span()
+        out.append(text[at : start if text[start] == "\n" else start + 1])
+        at = end
+    out.append(text[at:])
+    return out
+
+
 def body_of(text: str) -> str:
     """A chunk's text without its title line."""
     return TITLE.sub("", text, count=1).strip()
@@ -90,13 +111,17 @@ def without_blocks(body: str) -> str:
 
 def without_inline(text: str) -> str:
     """A text with every INLINE stretch replaced by a blank; most texts have neither a mark of one nor a word that is long enough."""
-    odd = lambda line: any(m in line for m in INLINE_MARKS) or any(len(w) >= INLINE_CHARS for w in line.split())
+    marked = lambda part: any(m in part for m in INLINE_MARKS)
+    long = lambda part: max(map(len, part.split(" "))) >= INLINE_CHARS
+    if not marked(text) and not long(text):
+        return text
+    odd = lambda line: marked(line) or long(line)
     return "\n".join(INLINE.sub(" ", line) if odd(line) else line for line in text.split("\n"))
 
 
 def sentences(body: str) -> list[str]:
     """Sentences of prose, without code, queries, tables, headings, properties, links and blobs; phrases are left out."""
-    parts = (p.strip() for p in SPLIT.split(without_inline(without_blocks(body))))
+    parts = (p.strip() for p in split_at(BREAK, without_inline(without_blocks(body))))
     return [p for p in parts if len(p) >= SENTENCE_CHARS or len(p) >= SENTENCE_HAN and len(HAN_CHAR.findall(p)) >= SENTENCE_HAN]
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.languages import SPLIT, body_of, labelled_texts, segments, sentences
+from marginalia.llm.languages import SPLIT, body_of, labelled_texts, sentences, split_at
 from marginalia.llm.stuffing import words
 from marginalia.tables import settle
 
@@ -61,20 +61,26 @@ PLACEHOLDERS = frozenset({
 #: Fixed value: the lines that the prompt around a page begins with.
 PROMPT = re.compile(r"\s*page title:.*\n\s*content:", re.I)
 
+#: Where ``fingerprints`` splits: behind a stop, or at line feeds.
+PRINT_BREAK = re.compile(r"[.!?…][\"')\]»”’]*\s+|[。！？]|\n+")
 HEADING = re.compile(r"[\s>*+-]*#{1,6}\s")
 WORD_CHARS = re.compile(r"[\W_]+")
-STOP = re.compile(r"[.!?。！？]+[\"')\]»”’」』）]*\s*$")
+NO_WORD_BYTES = bytes(i for i in range(128) if not chr(i).isalnum())
+STOP_CHARS, AFTER_STOP = ".!?。！？", "\"')]»”’」』）"
+STOP = re.compile(rf"[{STOP_CHARS}]+[{re.escape(AFTER_STOP)}]*\s*$")
 OPENERS, CLOSERS = "([{（「『„“«", {")": "([{（", "]": "[", "}": "{", "）": "（(", "」": "「", "』": "『", "”": "“„", "“": "„", "»": "«"}
 ASIDE = re.compile(r"\s*[(（][^()（）]*[)）]\s*$")
-MARK = re.compile(r"[,;:，；：、(（„“\"«\n]")
-CLAUSE_END = re.compile(r"(?=[,;，；\n]|(?<!\s)\s?[(（])")
+#: What a clause begins behind, what it ends before, and what it ends before with or without a blank between.
+MARKS, CLAUSE_ENDS, ASIDES = ",;:，；：、(（„“\"«\n", ",;，；\n", "(（"
+DIGITS = re.compile(r"\d+")
 #: Code point that stands before a sentence's first character; characters of a last word that count.
 PAD, WORD_CONTEXT = 2, 16
 
 
 def letters(text: str) -> str:
     """A text's letters and digits in lower case."""
-    return WORD_CHARS.sub("", text.lower())
+    left = text.lower().encode("utf-8", "surrogatepass").translate(None, NO_WORD_BYTES)
+    return left.decode() if left.isascii() else WORD_CHARS.sub("", left.decode("utf-8", "surrogatepass"))
 
 
 def fingerprints(text: str, joined: bool = False) -> list[int]:
@@ -84,10 +90,10 @@ def fingerprints(text: str, joined: bool = False) -> list[int]:
     """
     import xxhash
 
-    parts = [p for p in re.split(r"(?<=[.!?…])[\"')\]»”’]*\s+|(?<=[。！？])|\n+", text) if p.strip()]
+    parts = [p for p in split_at(PRINT_BREAK, text) if p and not p.isspace()]
     prints = {letters(p) for p in parts}
-    if joined:
-        prints |= {letters(a + b) for a, b in zip(parts, parts[1:]) if HEADING.match(a)}
+    if joined and "#" in text:
+        prints |= {letters(a + b) for a, b in zip(parts, parts[1:]) if "#" in a and HEADING.match(a)}
     return [xxhash.xxh64_intdigest(p) - (1 << 63) for p in sorted(prints) if p]
 
 
@@ -119,7 +125,7 @@ def language_scores(texts: list[str], table: np.ndarray) -> np.ndarray:
         joined = "\n".join(texts[i].lower() for i in filled)
         lengths = [len(texts[i].lower()) + 1 for i in filled]
         one, three = gram_cells(codes(joined))
-        out[filled] = np.add.reduceat(table[one] + table[three], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
+        out[filled] = np.add.reduceat(table.take(one, axis=0) + table.take(three, axis=0), np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
     return out
 
 
@@ -133,44 +139,72 @@ def log_shares(counts: np.ndarray) -> np.ndarray:
 # --- ends
 
 
+def unstopped(text: str) -> str | None:
+    """What is before the final STOP of a text without outer blanks; None if it has none."""
+    if text[-1:] not in STOP_CHARS:
+        text = text.rstrip(AFTER_STOP)
+    return text.rstrip(STOP_CHARS) if text and text[-1] in STOP_CHARS else None
+
+
 def stripped(text: str) -> str:
     """A sentence without final stop and final aside, all numbers alike."""
-    text = STOP.sub("", text.strip())
-    return re.sub(r"\d+", "0", ASIDE.sub("", text) if text.rstrip()[-1:] in (")", "）") else text).lower()
+    text = text.strip()
+    if (found := unstopped(text)) is not None:
+        text = found
+    return DIGITS.sub("0", ASIDE.sub("", text) if text.rstrip()[-1:] in (")", "）") else text).lower()
 
 
 @functools.cache
-def alphanumeric() -> np.ndarray:
-    """Whether each code point is a letter or digit."""
-    return np.array([chr(i).isalnum() for i in range(sys.maxunicode + 1)], dtype=bool)
+def code_points(of: Callable[[str], bool]) -> np.ndarray:
+    """Whether ``of`` is true of each code point."""
+    return np.array([of(chr(i)) for i in range(sys.maxunicode + 1)], dtype=bool)
 
 
-def end_keys(text: str) -> list[np.ndarray]:
-    """For each context, the hash of it at every position of a text that might be its end."""
-    c, n = codes(text), len(text)
-    word = alphanumeric()[c]
+#: Multiplier of the contexts' hash, its inverse (modulo 2 to the power 64), and the powers of both that were needed so far.
+PRIME, INVERSE = 0x100000001B3, pow(0x100000001B3, -1, 1 << 64)
+POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of PRIME and of INVERSE."""
+    if len(POWERS[0]) < n:
+        POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, p, dtype=np.uint64)])) for p in (PRIME, INVERSE)]
+    return [p[:n] for p in POWERS]
+
+
+def context_keys(c: np.ndarray) -> tuple[np.ndarray, Callable[[int, np.ndarray], np.ndarray]]:
+    """For each position of a text (its codes) how many characters of its word are before it, and a function of a context's number and positions
+    that gives the hash of the context at each of them.
+
+    A context is the difference of two prefix sums, so its length doesn't matter.
+    """
+    n = len(c)
+    word = code_points(str.isalnum)[c]
     han = (c >= 0x3400) & (c <= 0x9FFF)
     begins = word & ~np.concatenate([[False], word[:-1]]) | han
     count = np.cumsum(begins)
-    marks = np.zeros(n, dtype=bool)
-    marks[[m.start() for m in MARK.finditer(text)]] = True
+    marks = np.isin(c, codes(MARKS))
     since = np.minimum(count - np.maximum.accumulate(np.where(marks, count, 0)), 15).astype(np.uint64)
     into = np.arange(n) - np.maximum.accumulate(np.where(begins | ~word, np.arange(n), 0))
-    prime, mask = 0x100000001B3, (1 << 64) - 1
-    padded = np.concatenate([np.full(max(WORD_CONTEXT, *(k for k, _ in CONTEXTS)), PAD, dtype=np.uint64), c])
-    before = lambda j: padded[len(padded) - n - j : len(padded) - j]
-    h, own, upto = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64), {}
-    for j in range(max(k for k, _ in CONTEXTS)):
-        h = h * np.uint64(prime) + before(j)
-        upto[j + 1] = h
-    for j in range(WORD_CONTEXT):
-        own = own * np.uint64(prime) + np.where(into >= j, before(j), np.uint64(0))
-    out = []
-    for i, (k, clause) in enumerate(CONTEXTS):
-        whole = (upto[k] if k else own) * np.uint64(16) + (since if clause else np.uint64(0)) + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & mask)
+    pad, mask = max(WORD_CONTEXT, *(k for k, _ in CONTEXTS)), (1 << 64) - 1
+    up, down = powers(pad + n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.concatenate([np.full(pad, PAD, dtype=np.uint64), c]) * up[: pad + n])])
+
+    def keys(i: int, at: np.ndarray) -> np.ndarray:
+        k, clause = CONTEXTS[i]
+        end = at + (pad + 1)
+        own = (sums[end] - sums[end - (k or np.minimum(into[at] + 1, WORD_CONTEXT))]) * down[end - 1] * up[(k or WORD_CONTEXT) - 1]
+        whole = own * np.uint64(16) + (since[at] if clause else np.uint64(0)) + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & mask)
         whole = (whole ^ (whole >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((whole ^ (whole >> np.uint64(32))).view(np.int64))
-    return out
+        return (whole ^ (whole >> np.uint64(32))).view(np.int64)
+
+    return into, keys
+
+
+def end_keys(text: str) -> list[np.ndarray]:
+    """For each context, the hash of it at the end of a text, as an array of one."""
+    at, keys = np.array([len(text) - 1]), context_keys(codes(text))[1]
+    return [keys(i, at) for i in range(len(CONTEXTS))]
 
 
 def asked_for(keys: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
@@ -181,18 +215,38 @@ def asked_for(keys: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def clause_ends(c: np.ndarray) -> np.ndarray:
+    """Positions of the last characters of the clauses of a text (its codes)."""
+    aside, blank = np.isin(c, codes(ASIDES)), code_points(str.isspace)[c]
+    before = np.isin(c, codes(CLAUSE_ENDS)) | (aside | blank & np.append(aside[1:], False)) & ~np.append(False, blank[:-1])
+    at = np.flatnonzero(before[1:])
+    return at[c[at] != PAD]
+
+
 def count_ends(texts: list[str], bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts that pass a filter, how often each occurs in finished sentences, and how often a clause ends there."""
+    """Contexts that pass a filter, how often each occurs in finished sentences, and how often a clause ends there.
+
+    The filter has every context of each end that it was made of. So a context is looked for only where the shorter one, which it ends
+    with, passes.
+    """
     found, closed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    finished = [t for s in texts if STOP.search(s) and len(t := stripped(s)) >= 5]
+    finished = [t for s in texts if unstopped(s.rstrip()) is not None and len(t := stripped(s)) >= 5]
     gap = "\n" + chr(PAD) * max(k for k, _ in CONTEXTS)
     for first in range(0, len(finished), SLICE):
         text = "".join(gap + t for t in finished[first : first + SLICE]) + "\n"
-        inside = ~np.isin(codes(text), [PAD, 10])
-        last = [m.start() - 1 for m in CLAUSE_END.finditer(text) if text[m.start() - 1] != chr(PAD)]
-        for keys in end_keys(text):
-            for out, own in ((found, keys[inside]), (closed, keys[last])):
-                out.append(own[asked_for(own, bits)])
+        into, keys = context_keys(c := codes(text))
+        for out, at in ((found, np.flatnonzero((c != PAD) & (c != 10))), (closed, clause_ends(c))):
+            short = len(CONTEXTS) - 1
+            own = keys(short, at)
+            passed = asked_for(own, bits)
+            out.append(own[passed])
+            tried = at[passed]
+            begun = at[passed | (into[at] < CONTEXTS[short][0] - 1)]  # a longer word ends with the shortest context
+            for i in reversed(range(short)):
+                own = keys(i, tried if CONTEXTS[i][0] else begun)
+                passed = asked_for(own, bits)
+                out.append(own[passed])
+                tried = tried[passed] if CONTEXTS[i][0] else tried
     seen, n_seen = np.unique(np.concatenate(found), return_counts=True)
     ends, n_ends = np.unique(np.concatenate(closed), return_counts=True)
     keys = np.union1d(seen, ends)
@@ -218,7 +272,7 @@ def end_chance(text: str, seen: Counts, ends: Counts) -> float:
 
     Once a context was never seen, no longer one can have been.
     """
-    keys, p = np.array([k[-1] for k in end_keys(text)]), PRIOR
+    keys, p = np.concatenate(end_keys(text)), PRIOR
     for n_seen, n_ends in zip(reversed(seen.of(keys)), reversed(ends.of(keys))):
         if not n_seen:
             break
@@ -271,7 +325,7 @@ def filter_of(notes: DataFrame) -> np.ndarray:
             for text, title in zip(rows["summary"], rows["page_title"]):
                 known.update(words(untitled(text, title)))
                 if last := last_of(text):
-                    cells[[k[-1] & ((1 << FILTER_BITS) - 1) for k in end_keys(last)]] = True
+                    cells[np.concatenate(end_keys(last)) & ((1 << FILTER_BITS) - 1)] = True
             cells[[word_hash(w) & ((1 << FILTER_BITS) - 1) for w in known]] = True
         yield pd.DataFrame({"cell": np.flatnonzero(cells)})
 
@@ -360,6 +414,16 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+class WordHashes(dict):
+    """The hashes of words, each computed once as long as they are not too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= COUNTED:
+            self.clear()
+        self[word] = found = word_hash(word)
+        return found
+
+
 def weighed_words(text: str, title: str | None, language: int, models: Models) -> dict[int, float]:
     """Hashes of a summary's words, weighing what they tell: the smaller the share of the language's texts that have a word, the more."""
     hashes = np.array([word_hash(w) for w in sorted(set(words(untitled(text, title))))], dtype=np.int64)
@@ -373,13 +437,14 @@ def support(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     share of its words that the page has, 1 without words. Texts meet their note's words only; each chunk tells which it has."""
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
         for rows in batches:
             out = {}
             for note_id, text, wanted, weights in zip(rows["note_id"], rows["text"], rows["words"], rows["weights"]):
-                own = {word_hash(w) for w in set(words(body_of(text)))}
+                own = set(map(hashes.__getitem__, set(words(body_of(text)))))
                 out |= {(note_id, w): x for w, x in zip(wanted.tolist(), weights.tolist()) if w in own}
-            rows = [(note_id, w, x) for (note_id, w), x in out.items()]
-            yield pd.DataFrame(rows, columns=["note_id", "word", "weight"]).astype({"note_id": "int64", "word": "int64", "weight": "float64"})
+            keys = np.array(list(out), dtype=np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"note_id": keys[:, 0], "word": keys[:, 1], "weight": np.array(list(out.values()), dtype=np.float64)})
 
     few = asked.limit(HELD_ANSWERS + 1).count() <= HELD_ANSWERS
     met = chunks.filter("text is not null").select("note_id", "text").join(F.broadcast(asked) if few else asked, "note_id")
@@ -454,15 +519,16 @@ def pages(chunks: DataFrame, models: Models) -> DataFrame:
                 bodies = [body_of(t or "") for t in part["text"]]
                 split = [sentences(b) or [b] for b in bodies]
                 scores = language_scores([s for parts in split for s in parts], table)
-                best, at, runs, sums = scores.argmax(axis=1).tolist(), 0, [], []
-                for parts in split:
-                    own = slice(at, at + len(parts))
-                    found = segments(best[own], scores[own]) if len(parts) > 1 else []
-                    runs.append(sorted({lang for lang, _ in found}))
-                    sums.append(scores[own].sum(axis=0))
+                best, at, runs = scores.argmax(axis=1).tolist(), 0, []
+                starts = np.cumsum([0, *map(len, split)])[:-1]
+                sums = np.add.reduceat(scores, starts, axis=0)
+                for parts, total in zip(split, sums):
+                    own = best[at : at + len(parts)]
+                    found = {a for a, b in zip(own, own[1:]) if a == b}  # runs of two sentences
+                    runs.append(sorted(found) or ([int(total.argmax())] if len(own) > 1 else []))
                     at += len(parts)
                 out = {"note_id": part["note_id"].to_numpy(), "chars": [len(b) for b in bodies], "runs": runs}
-                yield pd.DataFrame(out | {f"l{i}": np.array(sums)[:, i] for i in range(n)})
+                yield pd.DataFrame(out | {f"l{i}": sums[:, i] for i in range(n)})
 
     schema = "note_id long, chars long, runs array<int>, " + ", ".join(f"l{i} double" for i in range(n))
     scored = chunks.select("note_id", "text").mapInPandas(read, schema)

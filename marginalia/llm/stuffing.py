@@ -50,6 +50,7 @@ LENGTHS, DRAWINGS = np.arange(0, 17.5, 0.5), 40
 
 WORD = re.compile(r"[^\W\d_]+")
 BLANKS = {i: " " for i in range(128) if not chr(i).isalpha()}
+BLANK_BYTES = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
 HAN = ("\u3400", "\u9fff")
 HAN_CHAR = re.compile(r"[\u3400-\u9fff]")
 
@@ -58,9 +59,12 @@ def words(text: str) -> list[str]:
     """Lower-case words of a text; runs of Han characters, which have no blanks, give their pairs of neighbours."""
     if text.isascii():
         return text.lower().translate(BLANKS).split()
-    found, out = WORD.findall(text.lower()), []
+    found = text.lower().encode("utf-8", "surrogatepass").translate(BLANK_BYTES).decode("utf-8", "surrogatepass").split()
+    if not "".join(found).isalpha():  # there are other marks than ASCII's
+        found = [w for part in found for w in ((part,) if part.isalpha() else WORD.findall(part))]
     if not HAN_CHAR.search(text):
         return found
+    out = []
     for word in found:
         if HAN[0] <= word[0] <= HAN[1] and len(word) > 1:
             out += map("".join, zip(word, word[1:]))

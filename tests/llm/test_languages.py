@@ -94,3 +94,12 @@ def test_nothing_labelled_and_empty_table(spark):
     texts_, labels = spark.createDataFrame([(1, "Some words are here.")], "id long, text string"), spark.createDataFrame([], "id long, lang string")
     assert [r["lang"] for r in languages.labelled_segments(texts_, labels).collect()] == ["und"]
     assert languages.labelled_segments(texts_.limit(0), labels).count() == 0
+
+
+def test_quick_splitting_equals_the_pattern():
+    marks = [". ", "! ", "? ", "… ", "。", ".\n", ".) ", ".\" x", ".\t", ".” ", "。」", "\n", " \n ", ".\xa0", ". \x1c", "? ", "… »", "a"]
+    for a in marks:
+        for b in marks:
+            text = f"One{a}two and so on{b}three"
+            quick, whole = ([p.strip() for p in parts if p.strip()] for parts in (languages.split_at(languages.BREAK, text), languages.SPLIT.split(text)))
+            assert quick == whole, text

@@ -142,3 +142,24 @@ def test_declining_is_learned_from_every_answer(spark, models):
     cell = pairs.gram_cells(pairs.codes("zyx qwv."))[1][0]
     grams = 10_500 / np.exp(learned[cell])  # all grams that were counted
     assert learned[cell] > once[cell] and grams > 10_500 * 2 * len("zyx qwv.")
+
+
+def test_longer_contexts_are_tried_where_shorter_ones_pass(monkeypatch):
+    texts_, tried = [s for lang in ("en", "de", "zh") for s in known(lang)] + ["A kettle (old, and ours), stays (near it)."], []
+    keys, seen, ends = pairs.count_ends(texts_)
+    asked_for = pairs.asked_for
+    monkeypatch.setattr(pairs, "asked_for", lambda keys, bits: tried.append(len(keys)) or asked_for(keys, bits))
+    bits = np.zeros(1 << pairs.FILTER_BITS, dtype=bool)
+    asked = np.concatenate([k[-1:] for end in ("our small garden was painted twice near the river", "a kettle (old", "an", "我们的小花园刷了两次漆") for k in pairs.end_keys(end)])
+    bits[asked & ((1 << pairs.FILTER_BITS) - 1)] = True
+    got = pairs.count_ends(texts_, np.packbits(bits, bitorder="little"))
+    assert sum(tried) < 3 * sum(map(len, texts_))  # not six contexts at each position
+    every = [pairs.Counts(keys, n).of(asked).tolist() for n in (seen, ends)]
+    assert [pairs.Counts(got[0], n).of(asked).tolist() for n in got[1:]] == every and sum(map(bool, every[0])) > 12 and any(every[1])
+
+
+def test_a_page_word_is_hashed_once(monkeypatch):
+    hashed, word_hash = [], pairs.word_hash
+    monkeypatch.setattr(pairs, "word_hash", lambda word: hashed.append(word) or word_hash(word))
+    hashes = pairs.WordHashes()
+    assert [hashes[w] for w in ("kettle", "boat", "kettle")] == [word_hash(w) for w in ("kettle", "boat", "kettle")] and hashed == ["kettle", "boat"]

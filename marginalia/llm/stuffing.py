@@ -15,12 +15,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.languages import language_code
@@ -34,6 +34,8 @@ ANY_LANGUAGE = "zz"
 FUNCTION_PAGES, FUNCTION_TOKENS = 0.3, 0.01
 #: How often a page counts a word at most when prose is sketched; words of all languages' prose added to each language's.
 FIRST_CAP, ADDED_WORDS = 3, 2000
+#: Words, of all labels, that a task counts before it passes its counts on.
+TALLIED = 1_000_000
 #: Divergence beyond what a page's length explains from which on a page doesn't count as prose.
 NO_PROSE = 0.15
 #: Pages of all lengths, and of all languages, added to a group of pages when its middle and spread are estimated.
@@ -55,14 +57,20 @@ HAN = ("\u3400", "\u9fff")
 HAN_CHAR = re.compile(r"[\u3400-\u9fff]")
 
 
-def words(text: str) -> list[str]:
-    """Lower-case words of a text; runs of Han characters, which have no blanks, give their pairs of neighbours."""
+def unpaired_words(text: str) -> list[str]:
+    """Lower-case words of a text, as WORD finds them."""
     if text.isascii():
         return text.lower().translate(BLANKS).split()
     found = text.lower().encode("utf-8", "surrogatepass").translate(BLANK_BYTES).decode("utf-8", "surrogatepass").split()
     if not "".join(found).isalpha():  # there are other marks than ASCII's
         found = [w for part in found for w in ((part,) if part.isalpha() else WORD.findall(part))]
-    if not HAN_CHAR.search(text):
+    return found
+
+
+def words(text: str) -> list[str]:
+    """Lower-case words of a text; runs of Han characters, which have no blanks, give their pairs of neighbours."""
+    found = unpaired_words(text)
+    if text.isascii() or not HAN_CHAR.search(text):
         return found
     out = []
     for word in found:
@@ -131,42 +139,55 @@ def body_words(text: str) -> Counter:
 
 
 def counted_pages(pages: DataFrame) -> DataFrame:
-    """lang, words and counts (how often each occurs) of each distinct text of a label of ``pages`` (text, lang) that has words."""
+    """lang and text of each distinct text of a label of ``pages`` (text, lang)."""
+    return pages.filter("text is not null and lang is not null").select("lang", "text").distinct()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = [(lang, own) for lang, text in zip(rows["lang"], rows["text"]) if (own := body_words(text))]
-            yield pd.DataFrame([(lang, list(own), list(own.values())) for lang, own in found], columns=["lang", "words", "counts"])
 
-    labelled = pages.filter("text is not null and lang is not null").select("lang", "text").distinct()
-    return labelled.mapInPandas(count, "lang string, words array<string>, counts array<long>")
+def tallies(counted: DataFrame, known: dict[str, Prose] | None) -> DataFrame:
+    """lang, word, tokens and pages with it, of each task's ``counted`` pages that have words, and of all words together (the empty word).
 
+    Given what is ``known``, pages that aren't near the prose of their nearest language are left out; else none counts a word more
+    than FIRST_CAP times.
+    """
+    near = None if known is None else holders_of(known)
 
-def is_near(known: dict[str, Prose]) -> Callable[[Column, Column], Column]:
-    """Whether a page of these words and counts is near the prose of its nearest language."""
-    near = holders_of(known)
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens: dict[str, Counter] = defaultdict(Counter)
+        holding: dict[str, Counter] = defaultdict(Counter)
 
-    @F.pandas_udf("boolean")
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for words_, counts in batches:
-            pages = (Counter(dict(zip(w, n.tolist()))) for w, n in zip(words_, counts))
-            yield pd.Series([nearest_prose(found, known, near)[1] < NO_PROSE for found in pages], dtype=bool)
+        def tallied() -> pd.DataFrame:
+            rows = [(lang, w, n, holding[lang][w]) for lang, own in tokens.items() for w, n in own.items()]
+            tokens.clear()
+            holding.clear()
+            return pd.DataFrame(rows, columns=["lang", "word", "tokens", "pages"])
+
+        for rows in batches:
+            for lang, text in zip(rows["lang"], rows["text"]):
+                if not (found := body_words(text)) or known is not None and nearest_prose(found, known, near)[1] >= NO_PROSE:
+                    continue
+                own = tokens[lang]
+                if known is None:
+                    found = {w: min(n, FIRST_CAP) for w, n in found.items()}
+                for w, n in found.items():
+                    own[w] += n
+                own[""] += sum(found.values())
+                holding[lang].update(found.keys())
+                holding[lang][""] += 1
+            if sum(map(len, tokens.values())) > TALLIED:
+                yield tallied()
+        yield tallied()
 
-    return judge
+    return counted.mapInPandas(tally, "lang string, word string, tokens long, pages long")
 
 
 def prose(counted: DataFrame, known: dict[str, Prose] | None = None) -> dict[str, Prose]:
     """The prose of each label of all ``counted`` pages; given what is ``known``, only from the pages near it, else a sketch in which
     a page counts no word more than FIRST_CAP times.
 
-    What comes back are at most PROSE_WORDS words a label. Every label's shares are mixed with
+    Tasks count words by label; what comes back are at most PROSE_WORDS words a label. Every label's shares are mixed with
     those of all labels together, so that a label of a few pages is no prose of its own.
     """
-    counts = F.transform("counts", lambda n: F.least(n, F.lit(FIRST_CAP))) if known is None else F.col("counts")
-    kept = counted if known is None else counted.filter(is_near(known)("words", "counts"))
-    size = F.aggregate(counts, F.lit(0).cast("long"), lambda t, n: t + n)  # of a page, which the empty word stands for
-    each = kept.select("lang", F.concat(F.array(F.lit("")), "words").alias("word"), F.concat(F.array(size), counts).alias("tokens"))
-    totals = each.select("lang", F.inline(F.arrays_zip("word", "tokens"))).groupBy("lang", "word").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pages"))
+    totals = tallies(counted, known).groupBy("lang", "word").agg(F.sum("tokens").alias("tokens"), F.sum("pages").alias("pages"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("word") != "", F.desc("tokens"), "word"))
     top = totals.withColumn("rank", rank).filter(F.col("rank") <= PROSE_WORDS + 1).drop("rank").collect()
     sizes = {r["lang"]: (r["tokens"], r["pages"]) for r in top if r["word"] == ""}
@@ -271,6 +292,8 @@ def deviating(fitted: DataFrame) -> DataFrame:
 
 FENCE = re.compile(r"```.*?(?:```|\Z)|#\+BEGIN_QUERY.*?(?:#\+END_QUERY|\Z)", re.S | re.I)
 LINK = re.compile(r"!?\[\[[^\]\n]*\]\]|!?\[[^\]\n]*\]\([^)\s]*\)|<?(?:https?://|www\.)[^\s>|)]+>?|(?<![\w#])#\w[^\s,;|·]*")
+#: What every FENCE and every LINK has some of.
+FENCE_MARKS, LINK_MARKS = ("```", "#+"), ("[", "://", "www.", "#")
 MARKER = re.compile(r"^\s*(?:[-*+>]\s+|\d+[.)]\s+|\[[ xX]\]\s*|(?:TODO|DONE|LATER|NOW|DOING)\b\s*)+")
 QUANTITY = re.compile(r"\s*\d+(?:[.,]\d+)?\s*(?:g|kg|ml|l|cm|mm|m|x|×|min|h|%)?\s+\S")
 CLOCK = re.compile(r"\d{4}-\d\d-\d\d|\b\d\d:\d\d\b")
@@ -286,7 +309,7 @@ def is_sentence(part: str, ended: bool, functions: frozenset[str]) -> bool:
     han = 0 if part.isascii() else len(HAN_CHAR.findall(part))
     if 2 * han > len(part.replace(" ", "")):
         return ended and len(HAN_GAP.findall(part)) * 15 <= han
-    found = WORD.findall(part.lower())
+    found = unpaired_words(part)
     if not found:
         return True
     share, varied = sum(w in functions for w in found) / len(found), len(set(found)) / len(found)
@@ -298,9 +321,13 @@ def is_sentence(part: str, ended: bool, functions: frozenset[str]) -> bool:
 def stuffed_share(text: str, functions: frozenset[str]) -> float:
     """Share of a page's text, without its title line, that is keywords, tags or links instead of sentences or records."""
     body = TITLE.sub("", text, count=1)
-    stuffed, sound = 0, sum(len(m) for m in FENCE.findall(body))
-    for line in FENCE.sub("\n", body).splitlines():
-        rest, links = LINK.sub(" ", line), sum(len(m) for m in LINK.findall(line))
+    stuffed, sound = 0, 0
+    if any(mark in body for mark in FENCE_MARKS):
+        sound, body = sum(len(m) for m in FENCE.findall(body)), FENCE.sub("\n", body)
+    for line in body.splitlines():
+        rest, links = line, 0
+        if any(mark in line for mark in LINK_MARKS):
+            rest, links = LINK.sub(" ", line), sum(len(m) for m in LINK.findall(line))
         stuffed += links
         plain = MARKER.sub("", rest).strip(EDGES)
         if not plain:

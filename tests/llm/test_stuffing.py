@@ -102,3 +102,11 @@ def test_prose_is_fitted_on_all_labelled_pages(spark):
     assert np.isclose(own.shares["kettle"], (2600 + stuffing.ADDED_WORDS / 5) / (5 * 2600 + stuffing.ADDED_WORDS))
     near = stuffing.prose(counted, {"en": own})["en"]
     assert np.isclose(near.shares["kettle"], own.shares["kettle"]) and "kettle" in near.functions
+
+
+def test_a_task_passes_on_each_word_once(spark):
+    rows = [("en", "# Title\n\nThe old kettle, the old boat. The end."), ("en", "# Title\n\nThe kettle of the neighbours, the kettle."), ("de", "Der Kessel"), ("de", "# Only a title")] + [("en", f"Kettle {'x' * i}") for i in range(1, 40)]
+    counted = stuffing.counted_pages(spark.createDataFrame(rows * 2, "lang string, text string")).coalesce(1)
+    got = {(r["lang"], r["word"]): (r["tokens"], r["pages"]) for r in stuffing.tallies(counted, None).collect()}
+    assert len(got) == stuffing.tallies(counted, None).count() == 3 + 47  # not a row for each page of a word
+    assert got["en", "the"] == (6, 2) and got["en", "kettle"] == (42, 41) and got["en", ""] == (8 + 7 + 78, 41) and got["de", ""] == (2, 1)
